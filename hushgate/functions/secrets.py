@@ -40,11 +40,14 @@ def has_secret(text: Column, detectors: Sequence[Detector] = DETECTORS) -> Colum
 
 
 def redact_text(text: Column, detectors: Sequence[Detector] = DETECTORS) -> Column:
-    """Text with every detected value masked and its surroundings kept."""
+    """Text with every detected value masked and its surroundings kept.
+
+    Only texts that hold a secret go through the replacements.
+    """
+    masked = text
     for d in detectors:
-        text = F.when(_hinted(text, d),
-                      F.regexp_replace(text, d.replacing, "$1" + MASK + "$2")).otherwise(text)
-    return text
+        masked = F.regexp_replace(masked, d.replacing, "$1" + MASK + "$2")
+    return F.when(has_secret(text, detectors), masked).otherwise(text)
 
 
 def secret_fingerprint(value: Column, salt: str | Column) -> Column:

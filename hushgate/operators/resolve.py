@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushgate.functions.text import first_line
@@ -40,6 +40,6 @@ def attach_diffs(suspicious: DataFrame, diffs: DataFrame) -> DataFrame:
     return diffs.join(wanted, KEYS).select(*KEYS, "diff")
 
 
-def one_commit(diffs: DataFrame, repo: str, sha: str) -> DataFrame:
+def one_commit(diffs: DataFrame, repo: str | Column, sha: str | Column) -> DataFrame:
     """The diff of a single commit; the filter reaches the table scan."""
     return diffs.filter((F.col("repo") == repo) & (F.col("sha") == sha)).select(*KEYS, "diff")

@@ -32,11 +32,12 @@ def read_archive(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     Gzip files do not split, so an hour file is one task; write_by_hour compacts
     them once for repeated use.
     """
-    return (spark.read.schema(schemas.RAW_EVENT_WITH_CORRUPT)
-            .option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", CORRUPT)
-            .json(paths)
-            .withColumn("archive_hour", hour_from_path(F.input_file_name())))
+    event = F.from_json("value", schemas.RAW_EVENT_WITH_CORRUPT,
+                        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return (spark.read.text(paths)
+            .filter(F.trim("value") != "")
+            .select(event.alias("e"), hour_from_path(F.input_file_name()).alias("archive_hour"))
+            .select("e.*", "archive_hour"))
 
 
 def read_archive_events(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -46,11 +47,9 @@ def read_archive_events(spark: SparkSession, paths: str | list[str]) -> DataFram
 
 def corrupt_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Lines that are not valid events, with the hour they came from."""
-    # The parser only fills the corrupt column when a data column is read too.
     return (read_archive(spark, paths)
-            .select("id", F.col(CORRUPT).alias("line"), "archive_hour")
-            .filter(F.col("line").isNotNull())
-            .drop("id"))
+            .select(F.col(CORRUPT).alias("line"), "archive_hour")
+            .filter(F.col("line").isNotNull()))
 
 
 def hour_range(bounds: DataFrame, start: Column | None, end: Column,
