@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hushgate.functions.text import message_key
 from hushgate.rules import (BROAD_NOUNS, BROAD_VERBS, HIGH_NOUNS, HIGH_VERBS, KEY_PREFIXES,
-                            REMOVAL_PATTERNS, SWEEP_PATTERNS, TOKEN_PATTERN)
+                            PATTERN_HINTS, REMOVAL_PATTERNS, SWEEP_PATTERNS, TOKEN_PATTERN)
 
 WORD_SETS = {
     "high_verbs": HIGH_VERBS,
@@ -26,51 +27,63 @@ SUSPICIOUS, CLEAN, AMBIGUOUS = "suspicious", "clean", "ambiguous"
 REGEX_FLAGS = "(?dU)"
 
 
-def _first_match(key: Column, patterns: Sequence[str], first_id: int) -> Column:
+PATTERNS = list(enumerate(zip(REMOVAL_PATTERNS + SWEEP_PATTERNS, PATTERN_HINTS), 1))
+
+
+def pattern_found(key: Column, pattern: str, hints: Sequence[str]) -> Column:
+    """Regex search behind plain byte searches, which rule out almost every message."""
+    hinted = reduce(lambda a, b: a | b, [key.contains(h) for h in hints])
+    return hinted & key.rlike(REGEX_FLAGS + pattern)
+
+
+def _first_match(key: Column, patterns) -> Column:
     branch = F
-    for rule_id, pattern in enumerate(patterns, first_id):
-        branch = branch.when(key.rlike(REGEX_FLAGS + pattern), F.lit(rule_id))
+    for rule_id, (pattern, hints) in patterns:
+        branch = branch.when(pattern_found(key, pattern, hints), F.lit(rule_id))
     return branch
 
 
 def match_removal_patterns(message: Column) -> Column:
     """Id 1-3 of the first removal pattern found, else null."""
-    return _first_match(message_key(message), REMOVAL_PATTERNS, 1).otherwise(F.lit(None).cast("int"))
+    return _first_match(message_key(message), PATTERNS[:len(REMOVAL_PATTERNS)])
 
 
 def match_sweep_patterns(message: Column) -> Column:
     """Id 4-12 of the first sweep pattern found, else null."""
-    return _first_match(message_key(message), SWEEP_PATTERNS, 1 + len(REMOVAL_PATTERNS)) \
-        .otherwise(F.lit(None).cast("int"))
+    return _first_match(message_key(message), PATTERNS[len(REMOVAL_PATTERNS):])
+
+
+def words_of(key: Column) -> Column:
+    """Words of a message key, repeats kept."""
+    return F.regexp_extract_all(key, F.lit(TOKEN_PATTERN), F.lit(0))
 
 
 def tokenize(key: Column) -> Column:
     """Distinct words of a message key."""
-    return F.array_distinct(F.regexp_extract_all(key, F.lit(TOKEN_PATTERN), F.lit(0)))
+    return F.array_distinct(words_of(key))
 
 
-def _words(words: Sequence[str]) -> Column:
+def _literals(words: Sequence[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
 def tier1(tokens: Column, sets: Mapping[str, Sequence[str]] = WORD_SETS) -> Column:
-    return (F.arrays_overlap(tokens, _words(sets["high_verbs"]))
-            & F.arrays_overlap(tokens, _words(sets["high_nouns"])))
+    return (F.arrays_overlap(tokens, _literals(sets["high_verbs"]))
+            & F.arrays_overlap(tokens, _literals(sets["high_nouns"])))
 
 
 def tier2(tokens: Column, sets: Mapping[str, Sequence[str]] = WORD_SETS) -> Column:
-    return (F.arrays_overlap(tokens, _words(sets["broad_verbs"]))
-            & F.arrays_overlap(tokens, _words(sets["broad_nouns"])))
+    return (F.arrays_overlap(tokens, _literals(sets["broad_verbs"]))
+            & F.arrays_overlap(tokens, _literals(sets["broad_nouns"])))
 
 
-def outcome_code(key: Column, sets: Mapping[str, Sequence[str]] = WORD_SETS) -> Column:
-    """Which rule decides a message key. Evaluated once, everything else derives from it."""
-    tokens = tokenize(key)
+def outcome_code(key: Column, words: Column, sets: Mapping[str, Sequence[str]] = WORD_SETS) -> Column:
+    """Which rule decides a message key; everything else derives from this number."""
     branch = F.when(key == "", F.lit(BLANK))
-    for rule_id, pattern in enumerate(REMOVAL_PATTERNS + SWEEP_PATTERNS, 1):
-        branch = branch.when(key.rlike(REGEX_FLAGS + pattern), F.lit(rule_id))
-    return (branch.when(tier1(tokens, sets), F.lit(TIER1))
-                  .when(tier2(tokens, sets), F.lit(TIER2))
+    for rule_id, (pattern, hints) in PATTERNS:
+        branch = branch.when(pattern_found(key, pattern, hints), F.lit(rule_id))
+    return (branch.when(tier1(words, sets), F.lit(TIER1))
+                  .when(tier2(words, sets), F.lit(TIER2))
                   .otherwise(F.lit(NONE)))
 
 

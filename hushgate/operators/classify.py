@@ -20,8 +20,16 @@ ASKED = "_asked"
 def with_code(df: DataFrame, message: str = "message",
               sets: Mapping[str, Sequence[str]] = V.WORD_SETS) -> DataFrame:
     """Adds the message key and the code of the rule that decides it."""
-    return df.withColumn(KEY, message_key(F.col(message))) \
-             .withColumn(CODE, V.outcome_code(F.col(KEY), sets))
+    return _coded(df.withColumn(KEY, message_key(F.col(message))), sets)
+
+
+def _coded(keyed: DataFrame, sets: Mapping[str, Sequence[str]] = V.WORD_SETS) -> DataFrame:
+    # A later filter on the outcome would be pushed below the projection with the
+    # whole rule chain copied into it. It cannot pass a generator, so each message
+    # runs through the chain once.
+    code = V.outcome_code(F.col(KEY), F.col("_words"), sets)
+    return (keyed.withColumn("_words", V.words_of(F.col(KEY)))
+            .withColumn(CODE, F.explode(F.array(code))).drop("_words"))
 
 
 def _labelled(df: DataFrame) -> DataFrame:
@@ -57,12 +65,11 @@ def classify_with_rules(df: DataFrame, rules: DataFrame | Mapping[str, Sequence[
         (has["high_verbs"] & has["high_nouns"]).alias("_t1"),
         (has["broad_verbs"] & has["broad_nouns"]).alias("_t2"))
     joined = join_back(keyed, counts, per_key, KEY, row_id)
-    none = {name: [] for name in V.WORD_SETS}
-    code = V.outcome_code(F.col(KEY), none)
-    undecided = code == V.NONE
-    coded = joined.withColumn(CODE, F.when(undecided & F.coalesce("_t1", F.lit(False)), F.lit(V.TIER1))
-                                     .when(undecided & F.coalesce("_t2", F.lit(False)), F.lit(V.TIER2))
-                                     .otherwise(code))
+    undecided = F.col(CODE) == V.NONE
+    coded = _coded(joined, {name: [] for name in V.WORD_SETS}).withColumn(
+        CODE, F.when(undecided & F.coalesce("_t1", F.lit(False)), F.lit(V.TIER1))
+               .when(undecided & F.coalesce("_t2", F.lit(False)), F.lit(V.TIER2))
+               .otherwise(F.col(CODE)))
     return _labelled(coded).drop(KEY, "_t1", "_t2")
 
 
@@ -115,7 +122,7 @@ def classify_batch(df: DataFrame, message: str = "message", scorer: str | None =
 def classifier_stats(df: DataFrame, message: str = "message", model_calls: bool = False) -> DataFrame:
     """One row of counters: distinct messages decided per stage, and repeats."""
     keyed = df.select(message_key(F.col(message)).alias(KEY)).filter(F.col(KEY) != "")
-    coded = with_counts(keyed, KEY).withColumn(CODE, V.outcome_code(F.col(KEY)))
+    coded = _coded(with_counts(keyed, KEY))
     tier = V.tier_of(F.col(CODE))
     open_count = F.count_if(tier == "none") if model_calls else F.lit(0).cast("bigint")
     return coded.withColumn("tier", tier).agg(

@@ -62,6 +62,23 @@ SWEEP_PATTERNS = [
     r"\bsecret\s+(exposure|exposed|in code)",
 ]
 
+# Literals of which at least one occurs in every match of the pattern at the same
+# place in REMOVAL_PATTERNS + SWEEP_PATTERNS.
+PATTERN_HINTS = [
+    ("key", "token", "secret", "password", "credential"),
+    ("leak", "expose", "compromise"),
+    ("revert",),
+    ("coded",),
+    (".env",),
+    ("rotate",),
+    ("mistake",),
+    ("real",),
+    ("replace",),
+    ("security",),
+    ("leak",),
+    ("secret",),
+]
+
 TOKEN_PATTERN = r"[a-z0-9_.&!#$%]+"
 
 DOMAIN_PATTERN = r"\b([a-z0-9-]+\.[a-z]{2,}(?:\.[a-z]{2,})?)\b"
