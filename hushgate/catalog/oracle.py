@@ -77,7 +77,9 @@ CLASS_COLUMNS = """
 
 
 def re2(pattern: str) -> str:
-    return pattern.replace(rules.NOT_AFTER_WORD, r"\b").replace(rules.NOT_BEFORE_WORD, r"\b")
+    """The same pattern in the dialect of DuckDB."""
+    return (pattern.replace(rules.NOT_AFTER_WORD, r"\b").replace(rules.NOT_BEFORE_WORD, r"\b")
+            .replace(r"\p{XDigit}", "[0-9a-fA-F]"))
 
 
 def hits(source: str, keys: str, text: str = "text") -> str:
@@ -157,9 +159,11 @@ VIEWS = {
     "classified": f"""SELECT *, {CLASS_COLUMNS} FROM (SELECT *, {code_of(key_of('message'))} AS code FROM resolved)""",
     "suspicious": "SELECT * FROM classified WHERE classification = 'suspicious'",
     "diffs": f"""SELECT p.repo, p.sha, 'diff --git a/' || source || '.txt b/' || source || '.txt' || {NL}
-        || '--- /dev/null' || {NL} || '+++ b/' || source || '.txt' || {NL}
-        || '@@ -0,0 +1,' || len(string_split(text, {NL})) || ' @@' || {NL}
-        || '+' || replace(text, {NL}, {NL} || '+') AS diff
+        || '--- a/' || source || '.txt' || {NL}
+        || CASE WHEN doc_id % 3 = 1 THEN '+++ /dev/null' || {NL} || '@@ -1,' || len(string_split(text, {NL})) || ' +0,0 @@'
+                || {NL} || '-' || replace(text, {NL}, {NL} || '-')
+           ELSE '+++ b/' || source || '.txt' || {NL} || '@@ -1 +1,' || len(string_split(text, {NL})) || ' @@' || {NL}
+                || ' first line' || {NL} || '+' || replace(text, {NL}, {NL} || '+') END AS diff
         FROM push_keys p JOIN documents d ON d.doc_id = (p.user_id * 100 + p.k) % (SELECT count(*) FROM documents)""",
     "wanted": "SELECT DISTINCT repo, sha FROM suspicious WHERE len(string_split(repo, '/')) = 2",
     "attached": "SELECT d.repo, d.sha, d.diff FROM diffs d JOIN wanted w ON d.repo = w.repo AND d.sha = w.sha",
@@ -251,16 +255,17 @@ VIEWS = {
         ORDER BY ts, repo, sha, event_id LIMIT 30""",
     "diff_lines": f"""SELECT repo, sha, unnest(string_split(diff, {NL})) AS line,
         unnest(range(len(string_split(diff, {NL})))) AS pos FROM diffs""",
-    "diff_marked": """SELECT *, last_value(CASE WHEN starts_with(line, '+++ b/') THEN substr(line, 7) END IGNORE NULLS)
-          OVER w AS file,
-        last_value(CASE WHEN starts_with(line, '@@ ') THEN CAST(regexp_extract(line, '\\+([0-9]+)', 1) AS INT) END IGNORE NULLS)
-          OVER w AS start,
-        last_value(CASE WHEN starts_with(line, '@@ ') THEN pos END IGNORE NULLS) OVER w AS hunk
+    "diff_marked": """SELECT *, last_value(CASE WHEN starts_with(line, 'diff --git ')
+          THEN regexp_extract(line, ' b/(.*)$', 1) END IGNORE NULLS) OVER w AS file,
+        last_value(CASE WHEN starts_with(line, '@@ ') THEN pos END IGNORE NULLS) OVER w AS hunk,
+        last_value(CASE WHEN starts_with(line, '@@ ') THEN regexp_extract(line, '-([0-9]+)', 1) END IGNORE NULLS) OVER w AS old,
+        last_value(CASE WHEN starts_with(line, '@@ ') THEN regexp_extract(line, '\\+([0-9]+)', 1) END IGNORE NULLS) OVER w AS new
         FROM diff_lines WINDOW w AS (PARTITION BY repo, sha ORDER BY pos)""",
-    "added": """SELECT repo, sha, file, line_no, substr(line, 2) AS text FROM (
-        SELECT *, start + count(*) OVER (PARTITION BY repo, sha, hunk ORDER BY pos) - 2 AS line_no
-        FROM diff_marked WHERE hunk IS NOT NULL AND NOT starts_with(line, '-'))
-        WHERE starts_with(line, '+')""",
+    "changed": """SELECT repo, sha, file, left(line, 1) AS sign, substr(line, 2) AS text,
+        CASE WHEN starts_with(line, '+') THEN CAST(new AS INT) + count(*) FILTER (NOT starts_with(line, '-')) OVER h - 1
+             ELSE CAST(old AS INT) + count(*) FILTER (NOT starts_with(line, '+')) OVER h - 1 END AS line_no
+        FROM diff_marked WHERE pos > hunk WINDOW h AS (PARTITION BY repo, sha, hunk ORDER BY pos)""",
+    "added": "SELECT repo, sha, file, line_no, text FROM changed WHERE sign = '+'",
 }
 
 
@@ -450,6 +455,7 @@ BODIES: dict[str, str] = {
           ELSE 'bitbucket' END AS forge,
         CASE doc_id % 5 WHEN 0 THEN {GITLAB_DIFF} WHEN 2 THEN {GIT_HEAD.format(a=NEW, b=NEW)} || {PATCH} WHEN 3 THEN {PATCH}
           ELSE {GIT_HEAD.format(a=OLD, b=NEW)} || {PATCH} END AS diff FROM documents""",
+    "diff_lines": "SELECT * FROM changed WHERE sign <> ' '",
     "diff_added_lines": "SELECT * FROM added",
     "suspicious_only": "SELECT event_id, repo, sha, message FROM suspicious",
     "only_verified": "SELECT detector, commit, secret_fp, pos FROM findings WHERE verified",
@@ -585,9 +591,9 @@ ENTROPY = """SELECT *, -list_sum(list_transform(list_distinct(string_split(value
     ((length(value) - length(replace(value, c, ''))) / length(value))
     * log2((length(value) - length(replace(value, c, ''))) / length(value)))) AS entropy FROM doc_hits"""
 
-# Findings in the added lines of the diffs of suspicious commits.
-SCAN = f"""SELECT repo, sha, file, line_no, detector, pos, {red('value')} AS secret_redacted, {fp('value')} AS secret_fp
-    FROM ({hits('(SELECT a.* FROM added a JOIN wanted w ON a.repo = w.repo AND a.sha = w.sha)', 'repo, sha, file, line_no')})"""
+# Findings in the changed lines of the diffs of suspicious commits.
+SCAN = f"""SELECT repo, sha, file, line_no, sign, detector, pos, {red('value')} AS secret_redacted, {fp('value')} AS secret_fp
+    FROM ({hits('(SELECT a.* FROM changed a JOIN wanted w ON a.repo = w.repo AND a.sha = w.sha WHERE sign <> chr(32))', 'repo, sha, file, line_no, sign')})"""
 
 
 def all_sql() -> dict[str, str]:

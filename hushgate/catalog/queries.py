@@ -230,6 +230,11 @@ def assemble_diff(spark, sf):
         "doc_id", "forge", G.assemble_diff(F.col("forge"), F.col("body")).alias("diff"))
 
 
+@query
+def diff_lines(spark, sf):
+    return D.diff_lines(v.diffs(spark, sf))
+
+
 @query
 def diff_added_lines(spark, sf):
     return D.diff_added_lines(v.diffs(spark, sf))

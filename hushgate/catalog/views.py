@@ -116,12 +116,18 @@ def diffs(spark: SparkSession, sf: str) -> DataFrame:
     n = docs.agg(F.count("*").alias("n")).select("n").scalar()
     keyed = push_keys(spark, sf).select("repo", "sha", ((F.col("user_id") * 100 + F.col("k")) % n).alias("doc_id"))
     file = F.concat(F.col("source"), F.lit(".txt"))
-    added = F.concat(F.lit("+"), F.replace(F.col("text"), F.lit("\n"), F.lit("\n+")))
-    count = F.size(F.split("text", "\n"))
+    count = text_of(F.size(F.split("text", "\n")))
+
+    def patch(sign: str, head: Column) -> Column:
+        return F.concat(F.lit("diff --git a/"), file, F.lit(" b/"), file, F.lit("\n"), head, F.lit(" @@\n"),
+                        F.lit(sign), F.replace(F.col("text"), F.lit("\n"), F.lit("\n" + sign)))
+
+    # Every third document was removed, the others were added after a context line.
+    added = patch("+", F.concat(F.lit("--- a/"), file, F.lit("\n+++ b/"), file, F.lit("\n@@ -1 +1,"), count))
+    added = F.replace(added, F.lit(" @@\n"), F.lit(" @@\n first line\n"))
+    removed = patch("-", F.concat(F.lit("--- a/"), file, F.lit("\n+++ /dev/null\n@@ -1,"), count, F.lit(" +0,0")))
     return keyed.join(docs, "doc_id").select(
-        "repo", "sha",
-        F.concat(F.lit("diff --git a/"), file, F.lit(" b/"), file, F.lit("\n--- /dev/null\n+++ b/"), file,
-                 F.lit("\n@@ -0,0 +1,"), text_of(count), F.lit(" @@\n"), added).alias("diff"))
+        "repo", "sha", F.when(F.col("doc_id") % 3 == 1, removed).otherwise(added).alias("diff"))
 
 
 def orgs(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushgate.functions import secrets as S
@@ -15,32 +15,57 @@ from hushgate.rules import DETECTOR_CATALOG, DETECTORS, GENERIC_DETECTORS, Detec
 
 FILE_START = r"(?m)^(?=diff --git |\+\+\+ b/)"
 HUNK_START = r"(?m)^(?=@@ )"
+# The hunk header, and header lines of a file that stand in or after its lines.
+NOT_CONTENT = r"^@@ [^\n]*\n?|(?m:^(?:--- (?:a/|/dev/null)|\+\+\+ (?:b/|/dev/null))[^\n]*\n?)"
 
 
-def diff_added_lines(diffs: DataFrame) -> DataFrame:
-    """Added lines of unified diffs as ``(repo, sha, file, line_no, text)``.
+def diff_lines(diffs: DataFrame) -> DataFrame:
+    """Added and removed lines of unified diffs: ``(repo, sha, file, line_no, sign, text)``.
 
-    A diff is cut into files, a file into hunks, and the lines of a hunk without
-    the removed ones count up from the start its header names. All cuts happen
-    within the row: no shuffle and no window, however large a single diff is.
+    A diff is cut into files, a file into hunks, and the lines of a hunk count up
+    from the starts its header names: added lines by their place in the new file,
+    removed lines by their place in the old one. All cuts happen within the row:
+    no shuffle and no window, however large a single diff is.
     """
     files = diffs.select("repo", "sha", F.explode(F.split("diff", FILE_START)).alias("part"))
-    named = files.select(
-        "repo", "sha", "part",
-        F.when(F.col("part").startswith("+++ b/"), F.regexp_extract("part", r"^\+\+\+ b/([^\n]*)", 1))
-         .otherwise(F.regexp_extract("part", r"^diff --git a/[^\n]* b/([^\n]*)", 1)).alias("file"))
-    # Without a hunk header everything after the file line is one hunk.
+    file = F.when(F.col("part").startswith("+++ b/"), F.regexp_extract("part", r"^\+\+\+ b/([^\n]*)", 1)) \
+            .otherwise(F.regexp_extract("part", r"^diff --git a/[^\n]* b/([^\n]*)", 1))
     body = F.regexp_replace("part", r"^(?:diff --git |\+\+\+ b/)[^\n]*\n?", "")
-    hunks = named.select("repo", "sha", "file", F.explode(F.split(body, HUNK_START)).alias("hunk"))
-    header = F.regexp_extract("hunk", r"^@@ -[0-9,]+ \+([0-9]+)", 1)
-    start = F.when(header == "", F.lit(1)).otherwise(header.cast("int"))
-    lines = F.split(F.regexp_replace("hunk", r"^@@ [^\n]*\n?", ""), "\n")
-    kept = F.filter(lines, lambda x: ~(x.startswith("-") | x.startswith("\\")))
-    numbered = hunks.select("repo", "sha", "file", start.alias("start"),
-                            F.posexplode(kept).alias("pos", "line"))
-    return (numbered.filter(F.col("line").startswith("+"))
-            .select("repo", "sha", "file", (F.col("start") + F.col("pos")).alias("line_no"),
-                    F.substr("line", F.lit(2)).alias("text")))
+    # What stands before the first hunk is header; a file without any hunk
+    # header is one hunk from its first line on.
+    pieces = F.filter(F.split(body, HUNK_START),
+                      lambda p: p.startswith("@@ ") | ~F.col("part").contains("\n@@ "))
+    # Every step that computes a column ends before the next explode: computed
+    # next to an explode, it would be evaluated for every line, and every line
+    # would carry the whole text it came from. The explodes are outer ones, as
+    # an inner explode of a column makes Spark compute that column twice, once
+    # for a filter on its size.
+    cut = files.select("repo", "sha", file.alias("file"), pieces.alias("hunks"))
+    hunks = cut.select("repo", "sha", "file", F.explode_outer("hunks").alias("hunk")).filter(F.col("hunk").isNotNull())
+
+    def start(side: int) -> Column:
+        named = F.regexp_extract("hunk", r"^@@ -([0-9]+)[0-9,]* \+([0-9]+)", side)
+        return F.when(named == "", F.lit(1)).otherwise(named.cast("int"))
+
+    lines = hunks.select("repo", "sha", "file", start(1).alias("old"), start(2).alias("new"),
+                         F.split(F.regexp_replace("hunk", NOT_CONTENT, ""), "\n").alias("lines"))
+
+    def side(sign: str, other: str, first: str) -> Column:
+        own = F.filter("lines", lambda x: ~(x.startswith(other) | x.startswith("\\")))
+        placed = F.transform(own, lambda x, i: F.struct((F.col(first) + i).alias("line_no"),
+                                                        F.lit(sign).alias("sign"), x.alias("line")))
+        return F.filter(placed, lambda x: x["line"].startswith(sign))
+
+    changed = lines.select("repo", "sha", "file",
+                           F.concat(side("+", "-", "new"), side("-", "+", "old")).alias("changed"))
+    return (changed.select("repo", "sha", "file", F.explode_outer("changed").alias("c"))
+            .filter(F.col("c").isNotNull())
+            .select("repo", "sha", "file", "c.line_no", "c.sign", F.substr("c.line", F.lit(2)).alias("text")))
+
+
+def diff_added_lines(diffs: DataFrame) -> DataFrame:
+    """Added lines only: ``(repo, sha, file, line_no, text)``."""
+    return diff_lines(diffs).filter(F.col("sign") == "+").drop("sign")
 
 
 def _hits(df: DataFrame, keys: Sequence[str], text: str, detectors: Sequence[Detector]) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from hushgate.functions.secrets import has_secret
 from hushgate.operators import events as E
 from hushgate.operators.attribute import Owned, attribute_events, owned_only
 from hushgate.operators.classify import classify_batch, suspicious_only
-from hushgate.operators.detect import detect_secrets, diff_added_lines
+from hushgate.operators.detect import detect_secrets, diff_lines
 from hushgate.operators.resolve import attach_diffs, resolve_messages
 
 
@@ -36,8 +38,15 @@ def classify_events(raw: DataFrame, commits: DataFrame, *,
 
 
 def scan_diffs(diffs: DataFrame, salt: str, min_entropy: float | None = None) -> DataFrame:
-    """Findings in the added lines of diffs."""
-    return detect_secrets(diff_added_lines(diffs), ["repo", "sha", "file", "line_no"], salt,
+    """Findings in the changed lines of diffs.
+
+    Removed lines count too: a commit that cleans up a leak shows the value there.
+    Whatever matches in a line matches in its diff, so diffs without any match
+    are dropped first. Spark moves that test below the join that attaches the
+    diffs: only diffs that hold something are shuffled and taken apart.
+    """
+    holding = diffs.filter(has_secret(F.col("diff")))
+    return detect_secrets(diff_lines(holding), ["repo", "sha", "file", "line_no", "sign"], salt,
                           min_entropy=min_entropy)
 
 

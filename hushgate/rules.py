@@ -186,7 +186,8 @@ DETECTORS = [
              r"(?i:" + "|".join(sorted(ASSIGNED_NOUNS, key=len, reverse=True)) + r")"
              r"[\"']?[ \t]*[:=][ \t]*[\"']",
              r"[^\"'\s]{8,}", r"[\"']", hints=('"', "'")),
-    Detector("long_hex", NOT_AFTER_WORD, r"[0-9a-fA-F]{32,}", NOT_BEFORE_WORD),
+    # No edges: a run is found from its first digit on anyway, and 0x may precede it.
+    Detector("long_hex", "", r"\p{XDigit}{32,}"),
 ]
 
 GENERIC_DETECTORS = ["private_key", "assignment", "long_hex"]
