@@ -39,6 +39,11 @@ def text_of(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
+def stored(c: Column) -> Column:
+    """Computed once per row like a stored column, rather than inside every filter on it."""
+    return F.explode(F.array(c))
+
+
 def with_commit_columns(events: DataFrame) -> DataFrame:
     """Works on a batch table and on a stream of it."""
     eid, uid, k = F.col("event_id"), F.col("user_id"), F.col("k")
@@ -48,12 +53,12 @@ def with_commit_columns(events: DataFrame) -> DataFrame:
                     F.lit("/repo"), text_of(uid % 7))
     repo = (F.when(eid % 41 == 5, "solo").when(eid % 43 == 7, F.concat(name, F.lit("/sub")))
              .when(eid % 47 == 9, "").otherwise(name))
-    return (events.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    sha = F.when(eid % 53 == 11, "").otherwise(F.md5(F.concat(text_of(uid), F.lit("-"), text_of(k))))
+    return (events.withColumn("k", stored(F.get_json_object("props", "$.k").cast("bigint")))
             .select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "k",
-                    kind.alias("kind"), repo.alias("repo"),
-                    F.when(eid % 53 == 11, "").otherwise(
-                        F.md5(F.concat(text_of(uid), F.lit("-"), text_of(k)))).alias("sha"),
-                    pick(MESSAGES, k).alias("message")))
+                    stored(F.struct(kind.alias("kind"), repo.alias("repo"), sha.alias("sha"),
+                                    pick(MESSAGES, k).alias("message"))).alias("c"))
+            .select("event_id", "ts", "user_id", "k", "c.*"))
 
 
 def commit_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,8 +131,9 @@ def diffs(spark: SparkSession, sf: str) -> DataFrame:
     added = patch("+", F.concat(F.lit("--- a/"), file, F.lit("\n+++ b/"), file, F.lit("\n@@ -1 +1,"), count))
     added = F.replace(added, F.lit(" @@\n"), F.lit(" @@\n first line\n"))
     removed = patch("-", F.concat(F.lit("--- a/"), file, F.lit("\n+++ /dev/null\n@@ -1,"), count, F.lit(" +0,0")))
-    return keyed.join(docs, "doc_id").select(
-        "repo", "sha", F.when(F.col("doc_id") % 3 == 1, removed).otherwise(added).alias("diff"))
+    # Laid out by commit, as a stored diff table would be.
+    return keyed.join(docs, "doc_id").repartition("repo", "sha").select(
+        "repo", "sha", stored(F.when(F.col("doc_id") % 3 == 1, removed).otherwise(added)).alias("diff"))
 
 
 def orgs(spark: SparkSession, sf: str) -> DataFrame:
