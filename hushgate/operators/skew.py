@@ -21,23 +21,24 @@ def join_back(df: DataFrame, counts: DataFrame, results: DataFrame, key: str, ro
     """Left join of ``results`` (one row per key, holding ``n``) to every row of ``df``.
 
     ``counts`` is ``with_counts(df, key)``. Rows of hot keys, and rows without a
-    key, spread over ``salts``
-    partitions, and the result rows of those keys are repeated once per salt.
-    The hot keys themselves are at most ``1 / hot_share`` rows, which is what
-    bounds the broadcast.
+    key, spread over ``salts`` partitions, and the result rows of hot keys are
+    repeated once per salt. What is broadcast is one hash per hot key: at most
+    ``1 / hot_share`` numbers, however long the keys are. Two keys with one hash
+    are salted alike on both sides, which changes nothing in the result.
     """
+    mark = F.xxhash64(key)
     total = counts.agg(F.sum("n").alias("total")).select("total").scalar()
-    hot = counts.filter(F.col("n") >= F.lit(hot_share) * total).select(F.col(key).alias("_hot"))
+    hot = F.broadcast(counts.filter(F.col("n") >= F.lit(hot_share) * total)
+                      .select(mark.alias("_hot")).distinct())
     is_hot = F.col("_hot").isNotNull()
-    marked = F.broadcast(hot)
+    salt = F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")
     spread = (
-        df.join(marked, F.col(key) == F.col("_hot"), "left")
-        .withColumn("_salt", F.when(is_hot | F.col(key).isNull(), F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
-                              .otherwise(F.lit(0)))
+        df.join(hot, mark == F.col("_hot"), "left")
+        .withColumn("_salt", F.when(is_hot | F.col(key).isNull(), salt).otherwise(F.lit(0)))
         .drop("_hot")
     )
     repeated = (
-        results.drop("n").join(marked, F.col(key) == F.col("_hot"), "left")
+        results.drop("n").join(hot, mark == F.col("_hot"), "left")
         .withColumn("_last", F.when(is_hot, F.lit(salts - 1)).otherwise(F.lit(0)))
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_last"))))
         .drop("_hot", "_last")

@@ -20,12 +20,21 @@ ENGINE_CONF = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
+# On a cluster shuffles start wide and adaptive execution merges what is small.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "4000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.files.maxPartitionBytes": "256m",
+}
+
 
 def build_session(app: str = "hushgate", master: str | None = None,
                   conf: dict[str, str] | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**ENGINE_CONF, **(conf or {})}.items():
+    local = (master or "").startswith("local")
+    for key, value in {**ENGINE_CONF, **({} if local else CLUSTER_CONF), **(conf or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushgate.rules import DOMAIN_PATTERN, FREEMAIL_DOMAINS
+from hushgate.sources.store import stage
 
 
 def extract_domains(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -30,12 +31,11 @@ def write_domain_list(domains: DataFrame, path: str, source: str) -> bool:
 
     Domains are JSON lines rather than one array, so no task holds them all.
     """
-    if domains.isEmpty():
+    rows = stage(domains.select("domain").distinct(), "domains")
+    if rows.isEmpty():
         return False
-    rows = domains.select("domain").distinct().orderBy("domain")
-    rows.write.mode("overwrite").json(f"{path}/domains")
-    saved = domains.sparkSession.read.schema("domain string").json(f"{path}/domains")
-    (saved.agg(F.count("*").alias("count")).select(F.lit(source).alias("source"), "count")
+    rows.orderBy("domain").write.mode("overwrite").json(f"{path}/domains")
+    (rows.agg(F.count("*").alias("count")).select(F.lit(source).alias("source"), "count")
      .write.mode("overwrite").json(f"{path}/summary"))
     return True
 
