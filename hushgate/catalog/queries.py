@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushgate import rules
 from hushgate.catalog import views as v
 from hushgate.functions import forge as G
 from hushgate.functions import secrets as S
@@ -337,13 +336,13 @@ def classify_batch(spark, sf):
     return C.classify_batch(_resolved(spark, sf)).select("event_id", "repo", "sha", "classification")
 
 
-def _ends_like_a_feature(keys: pd.Series) -> pd.Series:
-    return keys.str.endswith("e") | keys.str.contains("env")
-
-
 @query
 def score_unresolved(spark, sf):
-    C.register_scorer("feature-words", _ends_like_a_feature)
+    # Local, so that it travels by value to workers that cannot import this module.
+    def ends_like_a_feature(keys: pd.Series) -> pd.Series:
+        return keys.str.endswith("e") | keys.str.contains("env")
+
+    C.register_scorer("feature-words", ends_like_a_feature)
     return C.score_unresolved(_messages(spark, sf), "feature-words").select(*CLASSES)
 
 

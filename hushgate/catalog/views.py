@@ -16,6 +16,7 @@ from hushgate.rules import DETECTOR_CATALOG
 
 SALT = "check-salt"
 
+# The known message vectors and edge cases that classification is checked with.
 MESSAGES = [
     "remove leaked api key", "fix: expose secret token", "revoke aws credentials",
     "remove hard coded api key from config", "security fix: remove hardcoded credentials",

@@ -49,23 +49,25 @@ def commit_domains(commits: Column) -> Column:
     return F.flatten(F.transform(commits, both))
 
 
+def first_listed(commits: Column, domains: Collection[str]) -> Column:
+    """First owned mail domain of a push as struct ``(via, domain)``, else null."""
+    owned = [d.strip().lower() for d in domains]
+    return F.try_element_at(F.filter(commit_domains(commits), lambda x: x["domain"].isin(owned)), F.lit(1))
+
+
 def attribute_by_email(raw: DataFrame, domains: Owned) -> DataFrame:
     """First owned mail domain of each event: ``(event_id, matched_via, matched_value)``.
 
     Events without one are absent.
     """
     event_id = F.col("id").cast("bigint").alias("event_id")
-    candidates = commit_domains(F.col("payload.commits"))
+    commits = F.col("payload.commits")
     if not isinstance(domains, DataFrame):
-        owned = [d.strip().lower() for d in domains]
-        hit = F.element_at(F.filter(candidates, lambda x: x["domain"].isin(owned)), 1)
-        return (raw.select(event_id, F.try_element_at(
-                    F.filter(candidates, lambda x: x["domain"].isin(owned)), F.lit(1)).alias("_hit"))
+        return (raw.select(event_id, first_listed(commits, domains).alias("_hit"))
                 .filter(F.col("_hit").isNotNull())
                 .select("event_id", F.col("_hit.via").alias("matched_via"),
                         F.col("_hit.domain").alias("matched_value")))
-    # A domain named many times by one event is kept once, at its first place.
-    named = (raw.select(event_id, F.posexplode(candidates).alias("pos", "c"))
+    named = (raw.select(event_id, F.posexplode(commit_domains(commits)).alias("pos", "c"))
              .select("event_id", "pos", "c.via", "c.domain")
              .filter(F.col("domain") != ""))
     known = _normal(domains, "domain", "domain").filter(F.col("domain") != "")
@@ -85,9 +87,7 @@ def attribute_events(raw: DataFrame, orgs: Owned, domains: Owned) -> DataFrame:
     by_org = attribute_by_org(raw.withColumn("_repo", F.col("repo.name")), orgs, "_repo").drop("_repo")
     open_event = F.col("org_handle").isNotNull() & ~F.col("org_owned")
     if not isinstance(domains, DataFrame):
-        owned = [d.strip().lower() for d in domains]
-        hit = F.try_element_at(F.filter(commit_domains(F.col("payload.commits")),
-                                        lambda x: x["domain"].isin(owned)), F.lit(1))
+        hit = first_listed(F.col("payload.commits"), domains)
         by_mail = (by_org.withColumn("_hit", F.when(open_event, hit))
                    .withColumn("_via", F.col("_hit.via")).withColumn("_value", F.col("_hit.domain"))
                    .drop("_hit"))

@@ -1,7 +1,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from hushgate.operators.classify import classify, classifier_stats, suspicious_only
 from hushgate.operators.summary import first_errors, run_summary
