@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushgate.functions.text import hour_of, or_empty
 
 
+def utc_time(created_at: Column) -> Column:
+    """UTC wall clock of an ISO time with zone, whatever the session time zone is."""
+    instant = F.try_to_timestamp(created_at, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return epoch + F.make_dt_interval(secs=F.unix_seconds(instant).cast("decimal(18,6)"))
+
+
 def _common() -> list:
     return [
         F.col("id").cast("bigint").alias("event_id"),
         or_empty(F.col("repo.name")).alias("repo"),
-        F.try_to_timestamp("created_at", F.lit("yyyy-MM-dd'T'HH:mm:ssX")).cast("timestamp_ntz").alias("ts"),
+        utc_time(F.col("created_at")).alias("ts"),
     ]
 
 

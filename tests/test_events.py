@@ -39,6 +39,17 @@ def test_commit_keys(raw):
     assert rows[1].sha == "h" and rows[1].message is None and rows[1].ts == dt.datetime(2024, 1, 1, 0, 0, 1)
 
 
+def test_times_do_not_depend_on_the_session_zone(spark, strings):
+    times = strings(["2024-07-01T23:30:05Z", "2024-07-01T16:30:05-07:00", "soon", None])
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        got = [r.t for r in times.select("i", E.utc_time(F.col("text")).alias("t")).orderBy("i").collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [dt.datetime(2024, 7, 1, 23, 30, 5)] * 2 + [None, None]
+
+
 @pytest.mark.parametrize("as_table", [True, False])
 def test_attribution(spark, raw, as_table):
     orgs, mails = ["ACME"], ["mine.example", "own.example"]
