@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hushgate.llm import warc
+from hushgate.llm import sharding, warc
 from hushgate.llm.common import table
 from hushgate.sources.store import new_path
 
@@ -37,3 +38,11 @@ SELECT page_id, payload_bytes, p.payload_digest,
        CASE WHEN first_id <> page_id THEN first_id END AS refers_to
 FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest
 """
+
+
+@query
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law ``bytes``; SQL cannot follow sampled boundaries, so the laws themselves are tested."""
+    out = sharding.shard(table(spark, sf_dir, "documents"), 16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
