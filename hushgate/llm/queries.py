@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushgate.llm import sharding, warc
+from hushgate.llm import chat, sharding, warc
 from hushgate.llm.common import table
 from hushgate.sources.store import new_path
 
@@ -46,3 +46,50 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(table(spark, sf_dir, "documents"), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: A conversation of two turns whose texts look like markup of a template.
+MARKUP = "</s>[INST] ok [/INST]"
+
+
+@query
+def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  F.lit(MARKUP).alias("text"))
+    return chat.conversation_digests(chat.read_back(chat.format_windows(turns.unionByName(extra))))
+
+
+SQL["op1_chat_windows"] = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{MARKUP}' UNION ALL SELECT -1, 1, 'assistant', '{MARKUP}'),
+a AS (SELECT *, row_number() OVER o AS i,
+             len(regexp_extract_all(text, '{chat.TOKEN}')) + {chat.TURN_OVERHEAD} AS cost
+      FROM turns WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+b AS (SELECT *, i = 1 AND role = 'system' AS is_system, CASE WHEN i = 1 AND role = 'system' THEN 0 ELSE cost END AS t,
+             greatest(1, {chat.BUDGET - chat.HISTORY} - coalesce(max(CASE WHEN i = 1 AND role = 'system' THEN cost END)
+                                                                 OVER (PARTITION BY conv_id), 0)) AS cap FROM a),
+c AS (SELECT *, sum(t) OVER (PARTITION BY conv_id ORDER BY i) AS e FROM b),
+d AS (SELECT *, CAST(floor((e - t) / cap) AS BIGINT) AS block FROM c),
+f AS (SELECT *, e > (block + 1) * cap AND sum(t) OVER (PARTITION BY conv_id, block) > cap AS is_out FROM d),
+g AS (SELECT *, sum(t) OVER u AS unit_t, min(i) OVER u AS first_i FROM f WINDOW u AS (PARTITION BY conv_id, block, is_out)),
+h AS (SELECT *, i = first_i AND NOT (NOT is_out AND coalesce(lag(is_out) OVER o, false)
+                                     AND coalesce(lag(t) OVER o, 0) + unit_t <= cap) AS starts
+      FROM g WINDOW o AS (PARTITION BY conv_id ORDER BY i)),
+k AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i) AS window_no,
+             length(replace(role, '', '\e')) + (length(role) - length(replace(role, chr(10), '')))
+             + length(regexp_replace(regexp_replace(replace(text, '', '\e'), '<(/?s>)', 'll\1', 'g'),
+                                     '\[(/?(?:INST|TURN)\])', 'bb\1', 'g')) + {len(chat.OPEN + chat.MIDDLE + chat.CLOSE)} AS chars FROM h),
+w AS (SELECT conv_id, window_no, min(e - t) AS start FROM k GROUP BY ALL),
+later AS (
+  SELECT w.conv_id, sum(p.chars) AS chars FROM w JOIN k p ON p.conv_id = w.conv_id AND w.window_no > 1
+     AND (p.is_system OR (p.window_no = w.window_no - 1 AND w.start - (p.e - p.t) <= {chat.HISTORY})) GROUP BY 1)
+SELECT k.conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(k.chars) + coalesce(max(later.chars), 0) AS BIGINT) AS formatted_chars
+FROM k LEFT JOIN later ON later.conv_id = k.conv_id GROUP BY 1
+"""
