@@ -12,6 +12,7 @@ are responses too; an empty table gives an empty archive.
 
 from __future__ import annotations
 
+import gzip
 import re
 from collections.abc import Iterator
 
@@ -66,11 +67,12 @@ def write_archive(resolved: DataFrame, path: str, date: str, key: str = "page_id
                   payload: str = "html", file_bytes: int = FILE_BYTES) -> None:
     """Write records with fresh headers under ``path``; ``date`` is the WARC-Date of all of them.
 
-    The number of files follows from the bytes to write.
+    Files keep the partitioning of the join, so payloads are shuffled once;
+    records per file follow from their mean size.
     """
     k, digest, revisit = F.col(key), F.col("payload_digest"), F.col("record_type") == "revisit"
     size = F.when(revisit, 400).otherwise(F.col("payload_bytes") + 600)
-    total = resolved.agg(F.sum(size)).first()[0] or 0
+    total, rows = resolved.agg(F.coalesce(F.sum(size), F.lit(0)), F.count("*")).first()
     body = F.when(revisit, F.lit("")).otherwise(F.concat(F.lit(HTTP_HEAD), F.col(payload)))
     refers = F.when(revisit, _record_id(F.col("refers_to"), digest))
     record = F.concat(
@@ -83,8 +85,8 @@ def write_archive(resolved: DataFrame, path: str, date: str, key: str = "page_id
         _line("X-Key", k), _line("X-Refers-To-Key", F.when(revisit, F.col("refers_to"))),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
         _line("Content-Length", F.octet_length(body)), F.lit("\r\n"), body)
-    (resolved.select(record.alias("value")).repartition(max(1, -(-total // file_bytes)))
-     .write.option("lineSep", END).text(path))
+    (resolved.select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip")
+     .option("maxRecordsPerFile", max(1, rows * file_bytes // max(total, 1))).text(path))
 
 
 _HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)*)\r\n")
@@ -114,7 +116,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
             rows = []
-            for h, block in parse_records(content.as_py()):
+            for h, block in parse_records(gzip.decompress(content.as_py())):
                 payload = block.split(END.encode(), 1)[1].decode("utf-8") if h["warc-type"] == "response" else None
                 rows.append((uuid(h["warc-record-id"]), number(h.get("x-key")), h.get("warc-target-uri"),
                              h["warc-type"], uuid(h.get("warc-refers-to")), number(h.get("x-refers-to-key")),
@@ -129,7 +131,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """All records of the archives under ``path``; a revisit has no payload of its own."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(_read, RECORD.replace("string", "string"))
+    return files.select("content").mapInArrow(_read, RECORD)
 
 
 def with_payload_size(records: DataFrame) -> DataFrame:
