@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushgate.llm import chat, sharding, warc
+from hushgate.llm import chat, sharding, toxicity, warc
 from hushgate.llm.common import table
 from hushgate.sources.store import new_path
 
@@ -93,3 +93,16 @@ SELECT k.conv_id, count(*) AS n_turns,
        CAST(sum(k.chars) + coalesce(max(later.chars), 0) AS BIGINT) AS formatted_chars
 FROM k LEFT JOIN later ON later.conv_id = k.conv_id GROUP BY 1
 """
+
+
+def held_out(key: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tested by accuracy on the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
