@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushgate.llm import chat, sharding, toxicity, warc
+from hushgate.llm import chat, packing, sharding, toxicity, warc
 from hushgate.llm.common import table
 from hushgate.sources.store import new_path
 
@@ -106,3 +106,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out()))
     return toxicity.score(docs, model).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+def byte_bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tested piece by piece against the tokenizer's own ids."""
+    return packing.pack(table(spark, sf_dir, "documents"), byte_bpe_path())
