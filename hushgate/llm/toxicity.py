@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 64
-SAMPLE, SAMPLE_BYTES = 3000, 256 << 10
+SAMPLE, SAMPLE_BYTES = 2500, 32 << 10
 ORDINARY_DICT, TOXIC_DICT = 8192, 2048
 #: A mark has so many different pairs of neighbours, at so many times the ordinary rate.
 LEAST_NEIGHBOURS, LEAST_RATE = 6, 5.0
