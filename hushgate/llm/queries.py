@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushgate.llm import chat, decontaminate, packing, sharding, toxicity, warc
+from hushgate.llm import chat, decontaminate, packing, secretscan, sharding, toxicity, warc
 from hushgate.llm.common import table
 from hushgate.sources.store import new_path
 
@@ -148,3 +148,16 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id
 """
+
+
+@query
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL cannot measure compressed bytes; base kinds are tested against plain patterns."""
+    docs = table(spark, sf_dir, "documents")
+    found = secretscan.scan(docs, secretscan.identifier_dictionary(docs))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    shown = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"] != "novel")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"),
+                        F.sha2(F.encode(shown(base), "UTF-8"), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"),
+                        count("novel"))

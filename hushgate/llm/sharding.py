@@ -30,7 +30,7 @@ RANGES_PER_SHARD = 256
 SAMPLES_PER_RANGE = 4
 #: A range is cut again if it holds more than so many times its share.
 OVERFULL = 2.0
-FIRST = np.iinfo(np.int64).min
+FIRST, LAST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def locate(h: np.ndarray, tie: np.ndarray, cut_h: np.ndarray, cut_tie: np.ndarray) -> np.ndarray:
@@ -73,6 +73,8 @@ def _sampled_cuts(rows: DataFrame, weight, cut_by: str, per_range: dict[int, tup
         share = part["w"].cumsum() / part["w"].sum() * per_range[int(r)][1]
         first = part[np.floor(share).diff().fillna(0) > 0]
         cuts += [(int(h), int(t) if cut_by == "tie" else FIRST) for h, t in zip(first["h"], first["tie"])]
+        if cut_by == "h":  # a text that fills a range of its own also ends there
+            cuts += [(int(h) + 1, FIRST) for h in first["h"][first["h"].duplicated()].unique() if h < LAST]
     return cuts
 
 
