@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushgate.llm import chat, decontaminate, packing, secretscan, sharding, toxicity, warc
+from hushgate.llm import chat, decontaminate, packing, secretscan, sharding, suffixes, toxicity, warc
 from hushgate.llm.common import table
 from hushgate.sources.store import new_path
 
@@ -161,3 +161,9 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"),
                         F.sha2(F.encode(shown(base), "UTF-8"), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"),
                         count("novel"))
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tested against a brute-force count of all strings; SQL would list every 400-byte string."""
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
