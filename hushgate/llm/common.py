@@ -64,3 +64,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xC4CEB9FE1A85EC53)
     x ^= x >> np.uint64(33)
     return x
+
+
+#: Buckets of a key filter; the broadcast table has at most so many rows of one number.
+FILTER_BUCKETS = 1 << 20
+
+
+def only_buckets_of(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Drop rows of which no key in ``wanted`` shares the hash bucket, before a join on ``key`` shuffles them.
+
+    The filter has a fixed size. Where every bucket is wanted it drops nothing
+    and the join does all the work.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(FILTER_BUCKETS)).cast("int").alias("_bucket")
+    some = wanted.select(bucket).distinct()
+    return rows.withColumn("_bucket", bucket).join(F.broadcast(some), "_bucket", "left_semi").drop("_bucket")

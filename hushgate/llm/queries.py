@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushgate.llm import chat, decontaminate, packing, secretscan, sharding, suffixes, toxicity, warc
+from hushgate.llm import chat, decontaminate, jaccard, neardup, packing, secretscan, sharding, suffixes, toxicity, warc
 from hushgate.llm.common import table
 from hushgate.sources.store import new_path
 
@@ -167,3 +167,27 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tested against a brute-force count of all strings; SQL would list every 400-byte string."""
     return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+SQL["op6_jaccard"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format('text')}, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM i JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * n_both >= 90 * (p.n + q.n - n_both)),
+r AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT a, min(c) AS c FROM r GROUP BY 1) m ON m.a = w.doc_id
+"""
+
+
+@query
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate, so SQL has nothing to match; recall is tested against all pairs."""
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
