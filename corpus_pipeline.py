@@ -1,8 +1,70 @@
-"""A training corpus from documents."""
+"""From raw documents to packed training sequences, stage by stage.
 
-STAGES = []
+Each stage takes the documents its predecessor kept and returns documents of
+the same columns; the last returns the pieces of packed sequences. ``run``
+writes every stage to the shared folder and reads it again.
+
+- toxicity: documents with a score at or above the threshold go.
+- near duplicates: of each group linked by a Jaccard similarity of 0.8 or more
+  on five-word shingles, the document with the least id stays; documents
+  without id or words stay.
+- decontamination: documents that hold a window of a benchmark item go.
+- secrets: documents stay, found spans are replaced by a mark.
+- packing: all documents are tokenized and packed.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hushgate.llm import decontaminate, jaccard, packing, secretscan, toxicity
+from hushgate.llm.common import table
+from hushgate.llm.queries import byte_bpe_path
+from hushgate.sources.store import stage
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.reject(docs.select(COLUMNS), model)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = jaccard.jaccard_components(docs, n=SHINGLE_WORDS, percent=SIMILARITY_PERCENT)
+    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    # A row that repeats another goes as well; both joins and grouping work on the partitioning by id.
+    kept = docs.select(COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.select(COLUMNS).filter("doc_id is null"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    named = docs.select(COLUMNS).withColumn("_text", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
+    found = decontaminate.decontaminate(named.select("_text", "text"), table(spark, sf_dir, "benchmark"), key="_text")
+    bad = found.filter("n_hit > 0").select("_text").distinct()
+    return named.join(bad, "_text", "left_anti").select(COLUMNS)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = secretscan.redact(docs.select(COLUMNS), secretscan.identifier_dictionary(docs))
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, byte_bpe_path())
+
+
+STAGES = [("toxicity", reject_toxic), ("near_duplicates", one_of_each_group), ("decontamination", drop_contaminated),
+          ("secrets", redact_secrets), ("packing", pack)]
+
+#: Models, compressed lengths and token ids are beyond SQL; tests/llm compares with plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, work in STAGES[:-1]:
+        docs = stage(work(spark, docs, sf_dir), f"corpus-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -162,3 +162,15 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double")
+
+
+def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows, all columns, whose text scores below ``threshold``."""
+    i = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for b in batches:
+            yield b.filter(pa.array([scorer.score(t.as_py() or "") < threshold for t in b.column(i)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
