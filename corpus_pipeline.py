@@ -19,9 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushgate.llm import decontaminate, jaccard, packing, secretscan, toxicity
-from hushgate.llm.common import table
+from hushgate.llm.common import stage, table
 from hushgate.llm.queries import byte_bpe_path
-from hushgate.sources.store import stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80

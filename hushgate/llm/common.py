@@ -9,10 +9,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushgate.sources import store
+
 #: Bytes of text that numpy works on at a time; a longer document is a chunk of its own.
 CHUNK_BYTES = 4 << 20
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a result that later steps read, and let Spark drop what made it.
+
+    Spark deletes the shuffle files of a job once the driver has collected its
+    plan as garbage. A driver with little else to do collects rarely, so long
+    operators ask for it, or they would hold the shuffles of all their steps.
+    """
+    out = store.stage(df, name)
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

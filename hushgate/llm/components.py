@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushgate.sources.store import stage
+from hushgate.llm.common import stage
 
 
 def _star(edges: DataFrame) -> DataFrame:

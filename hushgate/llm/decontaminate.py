@@ -17,8 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushgate.llm.common import lower_ascii
-from hushgate.sources.store import stage
+from hushgate.llm.common import lower_ascii, stage
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW_WORDS = 10

@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hushgate.llm.common import stage
 from hushgate.llm.components import components
-from hushgate.sources.store import stage
 
 PIVOTS, NEAREST, SHARED = 256, 7, 3
 SAMPLE = 2048
@@ -44,15 +44,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def choose_pivots(sample: np.ndarray, most: int = PIVOTS, apart: float = 0.5) -> np.ndarray:
-    """Vectors of the sample that lie apart, so that a dense group does not fill the list; then others up to ``most``."""
+def choose_pivots(sample: np.ndarray, most: int = PIVOTS, apart: float = 0.5, least: int = 4 * NEAREST) -> np.ndarray:
+    """Vectors of the sample that lie apart, so that a dense group does not fill the list; others only up to ``least``."""
     free, kept = np.ones(len(sample), bool), []
     for i in range(len(sample)):
         if free[i] and len(kept) < most:
             kept.append(i)
             free &= sample @ sample[i] < apart
     rest = [i for i in range(len(sample)) if i not in set(kept)]
-    return sample[(kept + rest)[:most]]
+    return sample[kept + rest[: max(0, least - len(kept))]]
 
 
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, m: int) -> np.ndarray:

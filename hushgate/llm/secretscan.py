@@ -40,7 +40,8 @@ REACH = 48
 AROUND = 96
 #: Least marginal bytes for each character, and least digits and letters.
 LEAST_RATIO, LEAST_DIGITS, LEAST_LETTERS = 0.85, 3, 3
-IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_.-]{7,31}"
+#: Names without digits, so that no candidate explains itself.
+IDENTIFIER = r"[A-Za-z_][A-Za-z_.-]{7,31}"
 IDENTIFIERS = 4096
 _HEX_RUNS = bytes(104 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
 

@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushgate.llm.common import utf8_bytes
-from hushgate.sources.store import stage
+from hushgate.llm.common import stage, utf8_bytes
 
 #: Fine ranges for each shard; a shard's size is off by about one of them.
 RANGES_PER_SHARD = 256
@@ -30,6 +29,8 @@ RANGES_PER_SHARD = 256
 SAMPLES_PER_RANGE = 4
 #: A range is cut again if it holds more than so many times its share.
 OVERFULL = 2.0
+#: A single text is cut only if it holds more than so much of a shard.
+SPLIT_TEXT = 0.03
 FIRST, LAST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
@@ -93,7 +94,8 @@ def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "t
         rows = _ranged(keys, cuts)
         held = rows.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.sum(weight).alias("w"),
                                          F.min("h").alias("low"), F.max("h").alias("high")).collect()  # a row for each range
-        over = [r for r in held if r.w > OVERFULL / ranges and r.rows > 1]
+        over = [r for r in held if r.rows > 1
+                and r.w > (OVERFULL / ranges if r.low < r.high else max(OVERFULL / ranges, SPLIT_TEXT / shards))]
         if not over or i == rounds:
             break
         parts = lambda some: {r.range: (r.w, int(np.ceil(r.w * ranges))) for r in some}

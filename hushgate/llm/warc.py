@@ -7,7 +7,8 @@ mark of a record, so no task opens a file by itself.
 
 Defined results: null payload is empty; null address has no target line; null
 key is never chosen while another key exists; rows that repeat the chosen key
-are responses too; an empty table gives an empty archive.
+are responses too; an empty table gives an empty archive; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -33,15 +34,15 @@ RECORD = "record_id string, page_id long, url string, record_type string, refers
          "payload_digest string, payload string"
 
 
-def resolve_revisits(pages: DataFrame, key: str = "page_id", payload: str = "html",
+def resolve_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html",
                      least_bytes: int = LEAST_REVISIT_BYTES) -> DataFrame:
-    """Add ``payload_digest``, ``payload_bytes``, ``record_type`` and ``refers_to`` to pages.
+    """Key, address and payload with ``payload_digest``, ``payload_bytes``, ``record_type`` and ``refers_to``.
 
     The least key per digest is an aggregate over headers, so equal payloads
     combine before the shuffle; the join back keeps rows apart and can be
     split when one payload is most of the table.
     """
-    full = pages.withColumn(payload, empty_text(F.col(payload)))
+    full = pages.select(key, url, empty_text(F.col(payload)).alias(payload))
     rows = full.withColumns({"payload_digest": sha256_hex(F.col(payload)), "payload_bytes": utf8_bytes(F.col(payload))})
     first = (rows.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest")
              .agg(F.min(key).alias("_first")).filter(F.col("_first").isNotNull()))
