@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -28,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushgate.sources.store import stage
+from hushgate.llm.common import stage
+
 
 LONGEST, SHORTEST = 1024, 128
 END_ID = 0
@@ -38,39 +40,91 @@ BUCKETS = 4096
 CELL = 4096
 #: Tokens of one training step, the same for every tier.
 STEP_TOKENS = 65536
-CACHED_WORDS = 400_000
+CACHED_WORDS = 500_000
 PIECES = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, " \
          "tier int, step_group long"
 
-# Blanks inside a run of other white space belong to it; elsewhere a blank always begins a token.
-_RUN = re.compile(r"\s \s")
+# Blanks inside a run of other white space belong to it; elsewhere a blank always begins a token, and so does a line end
+# that stands alone. Marks after a word are tokens apart from it.
+_RUN, _LINES = re.compile(r"\s \s"), re.compile(r"\s\n|\n\s")
+#: Fixed value: how byte-level BPE of this kind cuts text before merging.
+PIECES_OF_TEXT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_MARKS = ".,;:!?*#$%&)"
 _encoders: dict[str, Encoder] = {}
 
 
+def byte_ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
+    """A byte-level vocabulary by bytes: printable Latin-1 stands for itself, the other bytes for characters from 256 on."""
+    plain = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c <= 255]
+    other = [c for c in range(256) if c not in set(plain)]
+    byte_of = {chr(c): c for c in plain} | {chr(256 + i): c for i, c in enumerate(other)}
+    return {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token)
+            and not token.startswith("<|")}
+
+
 class Encoder:
-    """Token ids of texts, word by word with a bounded cache: a token never spans the blank before a word."""
+    """Token ids of texts, word by word with a bounded cache: a token never spans the blank before a word.
+
+    New words are merged by the faster of two libraries with the same vocabulary, whole texts by the other.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.bpe = tiktoken.Encoding("same", pat_str=PIECES_OF_TEXT, mergeable_ranks=byte_ranks(self.tokenizer.get_vocab()), special_tokens={})
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.words: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        """Ids of words without white space, encoded together: the line end between two words is a token of its own."""
+        if not words:
+            return []
+        ids = np.array(self.bpe.encode_ordinary("\n".join(words)), "<u4")
+        cut = np.flatnonzero(ids == self.line_end)
+        return [ids[a:b].tobytes() for a, b in zip(np.r_[0, cut + 1].tolist(), np.r_[cut, len(ids)].tolist())]
+
+    def _learn(self, parts: set[str]) -> None:
+        """Add words as they stand after a blank, or after the line end they begin with."""
+        stems = {p: s for p in parts if (s := p.rstrip(_MARKS)) != p and s.lstrip("\n").isalpha()}
+        new = (parts - stems.keys() | set(stems.values())) - self.words.keys()
+        odd = [w for w in new if not w.strip() or len(w.split()) > 1 or w != w.rstrip() or w.lstrip("\n") != w.lstrip()]
+        new = list(new.difference(odd))
+        lines = [w for w in new if w[0] == "\n"]
+        blanks = [w for w in new if w[0] != "\n"]
+        self.words.update(zip(odd, self._ids([w if w[:1] == "\n" else f" {w}" for w in odd])))
+        self.words.update(zip(blanks, self._each([f" {w}" for w in blanks])))
+        end = np.array([self.line_end], "<u4").tobytes()
+        self.words.update((w, end + ids) for w, ids in zip(lines, self._each([w[1:] for w in lines])))
+        ends = list({p[len(s):] for p, s in stems.items()} - self.marks.keys())
+        self.marks.update(zip(ends, self._ids(ends)))
+        self.words.update((p, self.words[s] + self.marks[p[len(s):]]) for p, s in stems.items())
+
+    def _parts(self, text: str) -> list[str] | None:
+        if _RUN.search(text):
+            return None
+        if not _LINES.search(text):
+            return text.replace("\n", " \n").split(" ")
+        parts = text.split(" ")
+        return None if any(p[:1] == "\n" for p in parts) else parts
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        parts = [None if _RUN.search(t) else t.split(" ") for t in texts]
-        new = list(set().union(*(p[1:] for p in parts if p)) - self.words.keys())
-        self.words.update(zip(new, self._ids([f" {w}" for w in new])))
+        parts = [self._parts(t) for t in texts]
+        self._learn(set().union(*(p[1:] for p in parts if p)) - self.words.keys())
         heads = iter(self._ids([p[0] if p else t for t, p in zip(texts, parts)]))
         get = self.words.__getitem__
         out = [b"".join(chain((h,), map(get, p[1:]))) if p else h for h, p in zip(heads, parts)]
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
+            self.marks.clear()
         return out
 
 
