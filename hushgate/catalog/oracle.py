@@ -96,7 +96,7 @@ def fp(value: str) -> str:
 
 
 def red(value: str) -> str:
-    return f"left({value}, 4) || '...'"
+    return f"left({value}, CASE WHEN length({value}) < 12 THEN 0 ELSE least(4, length({value}) // 4) END) || '...'"
 
 
 def redacted(text: str) -> str:
@@ -237,7 +237,7 @@ VIEWS = {
           SELECT message_key, CAST('0x' || left(md5(message_key), 8) AS BIGINT) % 8 AS _bucket FROM open_keys))""",
     "batches": f"""SELECT batch_id, count(*) AS messages,
         replace({q(rules.REVIEW_BATCH_PROMPT)}, '{{messages}}',
-          string_agg('[' || idx || '] ' || message_key, {NL} || '---' || {NL} ORDER BY idx)) AS prompt
+          string_agg('[' || idx || '] ' || {redacted('message_key')}, {NL} || '---' || {NL} ORDER BY idx)) AS prompt
         FROM numbered GROUP BY batch_id""",
     "summary": """SELECT * FROM (SELECT min(ts) AS start_time, max(ts) AS end_time,
           (date_diff('microsecond', min(ts), max(ts)) // 1000000) || 's' AS duration,
@@ -422,7 +422,7 @@ BODIES: dict[str, str] = {
         FROM events""",
     "read_findings": f"""SELECT {pick(DETECTOR_CATALOG[:7], 'doc_id')} AS detector, CAST(doc_id % 9 AS VARCHAR) AS detector_type,
         'PLAIN' AS decoder, doc_id % 3 = 0 AS verified, doc_id % 3 = 2 AS redacted,
-        CASE WHEN has_raw THEN 'fake...' ELSE '' END AS secret_redacted,
+        CASE WHEN has_raw THEN {red("('fake-value-' || doc_id)")} ELSE '' END AS secret_redacted,
         CASE WHEN has_raw THEN {fp("('fake-value-' || doc_id)")} ELSE '' END AS secret_fp,
         CASE WHEN git THEN md5(CAST(doc_id AS VARCHAR)) ELSE '' END AS commit,
         CASE WHEN git THEN source || '.txt' ELSE '/tmp/' || source END AS file,
@@ -461,7 +461,9 @@ BODIES: dict[str, str] = {
     "only_verified": "SELECT detector, commit, secret_fp, pos FROM findings WHERE verified",
     "skip_diffs": "SELECT classification, count(*) AS commits FROM classified GROUP BY classification",
     "sample_commits": """SELECT event_id, repo, sha FROM keyed
-        WHERE CAST('0x' || left(md5(repo || '@' || sha), 8) AS BIGINT) % 10000 < 3000""",
+        WHERE CAST('0x' || left(md5(repo || '@' || sha), 8) AS BIGINT) < 0.3 * 4294967296""",
+    "sample_by_hash": """SELECT event_id, repo, sha FROM keyed
+        WHERE CAST('0x' || left(md5('7:' || event_id), 8) AS BIGINT) < 0.3 * 4294967296""",
     "max_commits": "SELECT event_id, repo, sha, ts FROM suspicious ORDER BY ts, repo, sha, event_id LIMIT 25",
     # classification
     "message_key": "SELECT event_id, message_key FROM msgs",
@@ -485,7 +487,7 @@ BODIES: dict[str, str] = {
         CAST(sum(n) - count(*) AS BIGINT) AS cache_hit
         FROM (SELECT *, {code_of('message_key')} AS code FROM (SELECT message_key, count(*) AS n FROM msgs GROUP BY 1)
               WHERE message_key <> '')""",
-    "build_review_prompt": f"SELECT event_id, replace({q(rules.REVIEW_PROMPT)}, '{{commit_message}}', message) AS prompt FROM msgs",
+    "build_review_prompt": f"SELECT event_id, replace({q(rules.REVIEW_PROMPT)}, '{{commit_message}}', {redacted('message')}) AS prompt FROM msgs",
     "build_review_batches": "SELECT batch_id, messages, prompt FROM batches",
     "parse_review_verdicts": """SELECT CAST(event_id AS VARCHAR) AS batch_id, unnest([0, 1, k + 2]) AS idx,
         unnest([true, k % 2 = 0, false]) AS leak_fix FROM ce WHERE event_id % 4 <> 3""",

@@ -183,7 +183,9 @@ def union_domain_lists(spark, sf):
 @query
 def write_by_hour(spark, sf):
     path = store.new_path(spark, "by-hour")
-    store.write_by_hour(v.commit_events(spark, sf), path, files_per_hour=1)
+    events, noon = v.commit_events(spark, sf), F.hour("ts") < 12
+    store.write_by_hour(events.filter(noon), path, files_per_hour=1)  # the second call keeps the hours of the first
+    store.write_by_hour(events.filter(~noon), path, files_per_hour=1)
     return store.read_by_hour(spark, path, "2024-01-10-03", "2024-01-12-05").select("event_id", "hour")
 
 
@@ -260,6 +262,11 @@ def sample_events(spark, sf):
     return E.sample_events(_keyed(spark, sf), 0.3, seed=7).select("event_id", "repo", "sha")
 
 
+@query
+def sample_by_hash(spark, sf):
+    return E.sample_by_hash(_keyed(spark, sf), 0.3, seed=7).select("event_id", "repo", "sha")
+
+
 @query
 def sample_commits(spark, sf):
     return E.sample_commits(_keyed(spark, sf), 0.3).select("event_id", "repo", "sha")

@@ -2,32 +2,42 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushgate.functions.text import hour_of
 
-_local_dir: list[str] = []
+_folders: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
-
-    A local session without the setting gets a temporary folder; on a cluster
-    the setting is required, since a machine-local folder would be lost with
-    its machine.
+    """Folder all executors can reach: that of the surrounding :func:`staging`,
+    else ``spark.checkpoint.dir``, else one beside the warehouse's tables.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _local_dir:
-        _local_dir.append(tempfile.mkdtemp(prefix="hushgate-"))
-    return _local_dir[0]
+    if _folders or root:
+        return (_folders[-1] if _folders else root).rstrip("/")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
+
+
+@contextmanager
+def staging(spark: SparkSession, folder: str | None = None) -> Iterator[str]:
+    """Stage into a folder of its own under ``folder``, and remove it at the end.
+
+    Results that read staged tables must be written or collected before.
+    """
+    own = f"{(folder or shared_dir(spark)).rstrip('/')}/run-{uuid.uuid4().hex}"
+    _folders.append(own)
+    try:
+        yield own
+    finally:
+        _folders.remove(own)
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -50,12 +60,13 @@ def write_by_hour(df: DataFrame, path: str, ts: str = "ts", files_per_hour: int
     """Compact events to Parquet partitioned by hour, so hour ranges prune files.
 
     Rows of one hour spread over ``files_per_hour`` writers, because one busy
-    hour may hold a large share of all rows.
+    hour may hold a large share of all rows. Hours already stored are replaced
+    if they occur in ``df`` and kept otherwise.
     """
     spread = F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(files_per_hour))
     (df.withColumn("hour", F.date_format(hour_of(F.col(ts)), "yyyy-MM-dd-HH"))
        .repartition("hour", spread)
-       .write.mode("overwrite").partitionBy("hour").parquet(path))
+       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour").parquet(path))
 
 
 def read_by_hour(spark: SparkSession, path: str, start_hour: str | None = None,

@@ -64,7 +64,7 @@ def test_scanner_lines_in_all_shapes(spark):
     assert [r.file for r in rows] == ["f"] * 4 + ["/x", ""]
     assert [r.redacted for r in rows] == [True, False, True, False, False, False]
     assert [r.verified for r in rows] == [True] * 4 + [False, False]
-    assert rows[0].secret_redacted == "fake..." and "fakefake" not in str(rows)
+    assert rows[0].secret_redacted == "fak..." and "fakefake" not in str(rows)
     assert rows[0].detector_type == "2"
 
 
@@ -111,3 +111,19 @@ def test_bucketed_tables_join_without_a_shuffle(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         spark.sql("DROP TABLE IF EXISTS bucketed_diffs")
         spark.sql("DROP TABLE IF EXISTS bucketed_suspicious")
+
+
+def test_second_write_keeps_other_hours_and_staging_cleans_up(spark, tmp_path):
+    from hushgate.sources.store import read_by_hour, stage, staging, write_by_hour
+
+    rows = lambda h, n: spark.createDataFrame([(i, f"2024-01-01 {h}:00:00") for i in range(n)], "i int, t string").selectExpr(
+        "i", "cast(t AS timestamp_ntz) AS ts")
+    path = str(tmp_path / "hours")
+    write_by_hour(rows("03", 10), path)
+    write_by_hour(rows("04", 1), path)
+    write_by_hour(rows("04", 2), path)
+    assert read_by_hour(spark, path).count() == 12
+    with staging(spark, str(tmp_path / "staged")) as folder:
+        assert stage(rows("05", 7), "x").count() == 7 and folder.startswith(str(tmp_path))
+        assert any((tmp_path / "staged").iterdir())
+    assert not any((tmp_path / "staged").iterdir())
