@@ -56,7 +56,10 @@ def secret_fingerprint(value: Column, salt: str | Column) -> Column:
 
 
 def redact_value(value: Column) -> Column:
-    return F.concat(F.left(or_empty(value), F.lit(4)), F.lit("..."))
+    """At most four characters and a quarter of the value; nothing of values under 12 characters."""
+    n = F.length(or_empty(value))
+    shown = F.when(n < 12, F.lit(0)).otherwise(F.least(F.lit(4), F.floor(n / 4))).cast("int")
+    return F.concat(F.left(or_empty(value), shown), F.lit("..."))
 
 
 def shannon_entropy(value: Column) -> Column:

@@ -60,21 +60,26 @@ def attribute_by_email(raw: DataFrame, domains: Owned) -> DataFrame:
 
     Events without one are absent.
     """
-    event_id = F.col("id").cast("bigint").alias("event_id")
+    hits = _mail_hits(raw, domains)
+    return hits.select(F.col("id").try_cast("bigint").alias("event_id"), "matched_via", "matched_value")
+
+
+def _mail_hits(raw: DataFrame, domains: Owned) -> DataFrame:
+    """The same by ``id`` as written: ids need not be numbers."""
     commits = F.col("payload.commits")
     if not isinstance(domains, DataFrame):
-        return (raw.select(event_id, first_listed(commits, domains).alias("_hit"))
+        return (raw.select("id", first_listed(commits, domains).alias("_hit"))
                 .filter(F.col("_hit").isNotNull())
-                .select("event_id", F.col("_hit.via").alias("matched_via"),
+                .select("id", F.col("_hit.via").alias("matched_via"),
                         F.col("_hit.domain").alias("matched_value")))
-    named = (raw.select(event_id, F.posexplode(commit_domains(commits)).alias("pos", "c"))
-             .select("event_id", "pos", "c.via", "c.domain")
+    named = (raw.filter("id is not null").select("id", F.posexplode(commit_domains(commits)).alias("pos", "c"))
+             .select("id", "pos", "c.via", "c.domain")
              .filter(F.col("domain") != ""))
     known = _normal(domains, "domain", "domain").filter(F.col("domain") != "")
     return (named.join(known, "domain")
-            .groupBy("event_id")
+            .groupBy("id")
             .agg(F.min(F.struct("pos", "via", "domain")).alias("_hit"))
-            .select("event_id", F.col("_hit.via").alias("matched_via"),
+            .select("id", F.col("_hit.via").alias("matched_via"),
                     F.col("_hit.domain").alias("matched_value")))
 
 
@@ -93,9 +98,8 @@ def attribute_events(raw: DataFrame, orgs: Owned, domains: Owned) -> DataFrame:
                    .drop("_hit"))
     else:
         # Mail domains decide only where the organisation did not.
-        hits = attribute_by_email(by_org.filter(open_event), domains).select(
-            F.col("event_id").cast("string").alias("id"),
-            F.col("matched_via").alias("_via"), F.col("matched_value").alias("_value"))
+        hits = _mail_hits(by_org.filter(open_event), domains).select(
+            "id", F.col("matched_via").alias("_via"), F.col("matched_value").alias("_value"))
         by_mail = by_org.join(hits, "id", "left")
     via = F.when(F.col("org_owned"), F.lit("org_handle")).otherwise(F.col("_via"))
     value = F.when(F.col("org_owned"), F.col("org_handle")).otherwise(F.col("_value"))

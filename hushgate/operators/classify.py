@@ -99,7 +99,10 @@ def score_unresolved(df: DataFrame, scorer: str | None, message: str = "message"
     asked = coded.withColumn(ASKED, F.when(F.col(CODE) == V.NONE, F.col(KEY)))
     counts = with_counts(asked.filter(F.col(ASKED).isNotNull()), ASKED)
     verdicts = counts.withColumn("_verdict", F.pandas_udf(fn, "boolean")(F.col(ASKED)))
-    answered = _labelled(join_back(asked, counts, verdicts, ASKED, row_id))
+    # Decided rows need no answer and are not shuffled.
+    decided = asked.filter(F.col(ASKED).isNull()).withColumn("_verdict", F.lit(None).cast("boolean"))
+    open_rows = join_back(asked.filter(F.col(ASKED).isNotNull()), counts, verdicts, ASKED, row_id)
+    answered = _labelled(open_rows.unionByName(decided))
     undecided = F.col(ASKED).isNotNull()
     return (answered
             .withColumn("classification",

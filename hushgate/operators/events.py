@@ -8,16 +8,29 @@ from pyspark.sql import functions as F
 from hushgate.functions.text import hour_of, or_empty
 
 
+# With and without a fraction, a colon in the zone, a T between date and time.
+TIME_LAYOUTS = [f"yyyy-MM-dd{t}HH:mm:ss{f}{z}" for f in ("", "[.SSSSSSSSS][.SSSSSS][.SSS][.SS][.S]")
+                for t in ("'T'", " ") for z in ("XXX", "XX", " XX", " 'UTC'")]
+
+
 def utc_time(created_at: Column) -> Column:
-    """UTC wall clock of an ISO time with zone, whatever the session time zone is."""
-    instant = F.try_to_timestamp(created_at, F.lit("yyyy-MM-dd'T'HH:mm:ssXXX"))
+    """UTC wall clock of an ISO time with zone, whatever the session time zone is; null if no layout fits."""
+    utc = F.regexp_replace(created_at, "UTC$", "+0000")
+    layouts = [x.replace("'UTC'", "XX") for x in TIME_LAYOUTS]
+    instant = F.coalesce(*[F.try_to_timestamp(utc, F.lit(x)) for x in dict.fromkeys(layouts)])
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return epoch + F.make_dt_interval(secs=F.unix_seconds(instant).cast("decimal(18,6)"))
+    return epoch + F.make_dt_interval(secs=(F.unix_micros(instant).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))
+
+
+def unread_times(raw: DataFrame) -> DataFrame:
+    """Events whose time no layout reads, counted by the time as written."""
+    return (raw.filter(F.col("type").isNotNull() & utc_time(F.col("created_at")).isNull())
+            .groupBy("created_at").agg(F.count("*").alias("events")))
 
 
 def _common() -> list:
     return [
-        F.col("id").cast("bigint").alias("event_id"),
+        F.col("id").try_cast("bigint").alias("event_id"),
         or_empty(F.col("repo.name")).alias("repo"),
         utc_time(F.col("created_at")).alias("ts"),
     ]
@@ -70,11 +83,19 @@ def sample_events(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
     return df.sample(fraction=fraction, seed=seed)
 
 
-def sample_commits(df: DataFrame, fraction: float, buckets: int = 10_000) -> DataFrame:
+def _below(text: Column, fraction: float) -> Column:
+    """Whether the first 32 bits of a hash, as a share of all, lie below ``fraction``."""
+    return F.conv(F.left(F.md5(text), F.lit(8)), 16, 10).cast("bigint") < F.lit(fraction * 2.0 ** 32)
+
+
+def sample_by_hash(df: DataFrame, fraction: float, key: str = "event_id", seed: int = 0) -> DataFrame:
+    """Repeatable sample of rows by their key; other seeds give other samples."""
+    return df.filter(_below(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), fraction))
+
+
+def sample_commits(df: DataFrame, fraction: float) -> DataFrame:
     """Repeatable sample: a commit is in or out wherever and whenever it occurs."""
-    prefix = F.left(F.md5(F.concat_ws("@", "repo", "sha")), F.lit(8))
-    bucket = F.pmod(F.conv(prefix, 16, 10).cast("bigint"), F.lit(buckets))
-    return df.filter(bucket < F.lit(round(fraction * buckets)))
+    return df.filter(_below(F.concat_ws("@", "repo", "sha"), fraction))
 
 
 def max_commits(suspicious: DataFrame, n: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Prompts for, and answers from, a reviewer outside of Spark."""
+"""Prompts for, and answers from, a reviewer outside of Spark; secrets in messages are masked."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushgate.functions import verdict as V
+from hushgate.functions.secrets import redact_text
 from hushgate.rules import REVIEW_BATCH_PROMPT, REVIEW_PROMPT
 
 FENCES = r"^\s*```(?:json)?\s*|\s*```\s*$"
@@ -14,7 +15,7 @@ FENCES = r"^\s*```(?:json)?\s*|\s*```\s*$"
 def build_review_prompt(messages: DataFrame, message: str = "message",
                         template: str = REVIEW_PROMPT) -> DataFrame:
     return messages.withColumn(
-        "prompt", F.replace(F.lit(template), F.lit("{commit_message}"), F.col(message)))
+        "prompt", F.replace(F.lit(template), F.lit("{commit_message}"), redact_text(F.col(message))))
 
 
 def number_for_review(keys: DataFrame, key: str = "message_key", size: int = 50,
@@ -37,7 +38,7 @@ def number_for_review(keys: DataFrame, key: str = "message_key", size: int = 50,
 def build_review_batches(numbered: DataFrame, key: str = "message_key",
                          template: str = REVIEW_BATCH_PROMPT) -> DataFrame:
     """One prompt per batch; a batch holds a bounded number of messages."""
-    entry = F.format_string("[%d] %s", "idx", key)
+    entry = F.format_string("[%d] %s", F.col("idx"), redact_text(F.col(key)))
     ordered = F.array_sort(F.collect_list(F.struct("idx", entry.alias("entry"))))
     body = F.array_join(F.transform(ordered, lambda x: x["entry"]), "\n---\n")
     return (numbered.groupBy("batch_id")

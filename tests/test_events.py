@@ -124,3 +124,16 @@ def test_summary_of_nothing(spark):
     found = spark.createDataFrame([], "verified boolean")
     row = M.run_summary(commits, found).first()
     assert (row.commits_seen, row.total_findings, row.hours_scanned, row.duration) == (0, 0, 0, "unknown")
+
+
+def test_times_in_several_layouts_and_ids_that_are_no_numbers(spark):
+    from hushgate.operators.events import sample_by_hash, sample_commits, unread_times, utc_time
+
+    texts = ["2024-01-01T00:00:00Z", "2024-01-01T00:00:00.123Z", "2024-01-01T02:00:00+02:00", "2024-01-01 00:00:00 UTC",
+             "2024-01-01 00:00:00 +0000", "yesterday"]
+    raw = spark.createDataFrame([(t, "PushEvent") for t in texts], "created_at string, type string")
+    got = [str(r.t) for r in raw.coalesce(1).select(utc_time(raw.created_at).alias("t")).collect()]
+    assert got[0] == got[2] == got[3] == got[4] == "2024-01-01 00:00:00" and got[1].startswith("2024-01-01 00:00:00.123") and got[5] == "None"
+    assert [(r.created_at, r.events) for r in unread_times(raw).collect()] == [("yesterday", 1)]
+    ids = spark.range(200_000).selectExpr("id AS event_id", "'a/b' AS repo", "cast(id AS string) AS sha")
+    assert 2 <= sample_by_hash(ids, 0.00005).count() <= 30 and 2 <= sample_commits(ids, 0.00005).count() <= 30
