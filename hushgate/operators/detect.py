@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from hushgate.functions import secrets as S
 from hushgate.rules import DETECTOR_CATALOG, DETECTORS, GENERIC_DETECTORS, Detector
 
-FILE_START = r"(?m)^(?=diff --git |\+\+\+ b/)"
+# Two header lines are a file's only where a hunk follows: a removed line "-- a/x" and an
+# added line "++ b/x" look like them within a hunk.
+NAMES = r"--- (?:a/|/dev/null)[^\n]*\n\+\+\+ (?:b/|/dev/null)[^\n]*"
+FILE_START = rf"(?m)^(?=diff --git |{NAMES}\n@@ )"
 HUNK_START = r"(?m)^(?=@@ )"
-# The hunk header, and header lines of a file that stand in or after its lines.
-NOT_CONTENT = r"^@@ [^\n]*\n?|(?m:^(?:--- (?:a/|/dev/null)|\+\+\+ (?:b/|/dev/null))[^\n]*\n?)"
+HUNK_HEADER = r"^@@ [^\n]*\n?"
 
 
 def diff_lines(diffs: DataFrame) -> DataFrame:
@@ -28,11 +30,14 @@ def diff_lines(diffs: DataFrame) -> DataFrame:
     no shuffle and no window, however large a single diff is.
     """
     files = diffs.select("repo", "sha", F.explode(F.split("diff", FILE_START)).alias("part"))
-    file = F.when(F.col("part").startswith("+++ b/"), F.regexp_extract("part", r"^\+\+\+ b/([^\n]*)", 1)) \
+    named = F.regexp_extract("part", r"^--- [^\n]*\n\+\+\+ b/([^\n]*)", 1)
+    file = F.when(named != "", named) \
+            .when(F.col("part").startswith("--- "), F.regexp_extract("part", r"^--- a/([^\n]*)", 1)) \
             .otherwise(F.regexp_extract("part", r"^diff --git a/[^\n]* b/([^\n]*)", 1))
-    body = F.regexp_replace("part", r"^(?:diff --git |\+\+\+ b/)[^\n]*\n?", "")
     # What stands before the first hunk is header; a file without any hunk
-    # header is one hunk from its first line on.
+    # header is one hunk from its first line on, its names left out.
+    bare = F.regexp_replace(F.regexp_replace("part", r"^diff --git [^\n]*\n?", ""), rf"(?m)^{NAMES}\n?", "")
+    body = F.when(F.col("part").contains("\n@@ "), F.regexp_replace("part", rf"^{NAMES}\n", "")).otherwise(bare)
     pieces = F.filter(F.split(body, HUNK_START),
                       lambda p: p.startswith("@@ ") | ~F.col("part").contains("\n@@ "))
     # Every step that computes a column ends before the next explode: computed
@@ -48,7 +53,7 @@ def diff_lines(diffs: DataFrame) -> DataFrame:
         return F.when(named == "", F.lit(1)).otherwise(named.cast("int"))
 
     lines = hunks.select("repo", "sha", "file", start(1).alias("old"), start(2).alias("new"),
-                         F.split(F.regexp_replace("hunk", NOT_CONTENT, ""), "\n").alias("lines"))
+                         F.split(F.regexp_replace("hunk", HUNK_HEADER, ""), "\n").alias("lines"))
 
     def side(sign: str, other: str, first: str) -> Column:
         own = F.filter("lines", lambda x: ~(x.startswith(other) | x.startswith("\\")))

@@ -129,3 +129,11 @@ def test_scan_finds_removed_values_too(spark):
 
 def test_unescape(strings):
     assert strings(["&amp;quot; &quot;&lt;&#39;"]).select(T.unescape_basic(F.col("text")).alias("t")).first().t == "&quot; \"<'"
+
+
+def test_lines_that_look_like_file_headers(spark):
+    diff = ("diff --git a/q.sql b/q.sql\n--- a/q.sql\n+++ b/q.sql\n@@ -1,2 +1,2 @@\n--- a/note token\n+++ b/x token\n same\n"
+            "@@ -9 +9 @@\n-- old\n+- new")
+    got = D.diff_lines(spark.createDataFrame([("o/r", "1", diff)], "repo string, sha string, diff string")).collect()
+    assert sorted((r.file, r.line_no, r.sign, r.text) for r in got) == [
+        ("q.sql", 1, "+", "++ b/x token"), ("q.sql", 1, "-", "-- a/note token"), ("q.sql", 9, "+", "- new"), ("q.sql", 9, "-", "- old")]
