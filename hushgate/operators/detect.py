@@ -6,12 +6,13 @@ Raw values live only between the match and the fingerprint, inside one stage.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushgate.functions import secrets as S
-from hushgate.rules import DETECTOR_CATALOG, DETECTORS, GENERIC_DETECTORS, Detector
+from hushgate.rules import DETECTOR_CATALOG, DETECTORS, GENERIC_DETECTORS, MULTI_LINE, Detector
 
 # Two header lines are a file's only where a hunk follows: a removed line "-- a/x" and an
 # added line "++ b/x" look like them within a hunk.
@@ -21,8 +22,8 @@ HUNK_START = r"(?m)^(?=@@ )"
 HUNK_HEADER = r"^@@ [^\n]*\n?"
 
 
-def diff_lines(diffs: DataFrame) -> DataFrame:
-    """Added and removed lines of unified diffs: ``(repo, sha, file, line_no, sign, text)``.
+def changed_hunks(diffs: DataFrame) -> DataFrame:
+    """Hunks of unified diffs with their changed lines: ``(repo, sha, file, added, removed)``.
 
     A diff is cut into files, a file into hunks, and the lines of a hunk count up
     from the starts its header names: added lines by their place in the new file,
@@ -61,13 +62,33 @@ def diff_lines(diffs: DataFrame) -> DataFrame:
                                                         F.lit(sign).alias("sign"), x.alias("line")))
         return F.filter(placed, lambda x: x["line"].startswith(sign))
 
-    changed = lines.select("repo", "sha", "file",
-                           F.concat(side("+", "-", "new"), side("-", "+", "old")).alias("changed"))
+    return lines.select("repo", "sha", "file", side("+", "-", "new").alias("added"), side("-", "+", "old").alias("removed"))
+
+
+def diff_lines(diffs: DataFrame) -> DataFrame:
+    """Added and removed lines of unified diffs: ``(repo, sha, file, line_no, sign, text)``."""
+    changed = changed_hunks(diffs).select("repo", "sha", "file", F.concat("added", "removed").alias("changed"))
     return (changed.select("repo", "sha", "file", F.explode_outer("changed").alias("c"))
             .filter(F.col("c").isNotNull())
             .select("repo", "sha", "file", "c.line_no", "c.sign", F.substr("c.line", F.lit(2)).alias("text")))
 
 
+def multi_line_hits(diffs: DataFrame, keys: Sequence[str], detectors: Sequence[Detector] = MULTI_LINE) -> DataFrame:
+    """Matches that may span lines: the lines of one sign in a hunk are read as one text.
+
+    ``line_no`` is the line on which a match begins.
+    """
+    sides = F.array(*[F.struct(F.lit(sign).alias("sign"), F.col(c).alias("lines")) for sign, c in (("+", "added"), ("-", "removed"))])
+    one = changed_hunks(diffs).select("repo", "sha", "file", F.explode(sides).alias("s"))
+    text = F.array_join(F.transform("s.lines", lambda x: F.substr(x["line"], F.lit(2))), "\n")
+    one = one.select("repo", "sha", "file", "s.sign", "s.lines", text.alias("text"))
+    hits = one.select("repo", "sha", "file", "sign", "lines", "text", F.explode(S.secret_hits(F.col("text"), detectors)).alias("_h"))
+    before = F.expr("left(text, locate(_h.value, text) - 1)")
+    at = F.size(F.split(before, "\n"))
+    return (hits.withColumn("line_no", F.element_at("lines", at)["line_no"])
+            .select(*keys, F.col("_h.detector").alias("detector"), F.col("_h.pos").alias("pos"), F.col("_h.value").alias("_value")))
+
+
 def diff_added_lines(diffs: DataFrame) -> DataFrame:
     """Added lines only: ``(repo, sha, file, line_no, text)``."""
     return diff_lines(diffs).filter(F.col("sign") == "+").drop("sign")
@@ -88,7 +109,20 @@ def detect_secrets(df: DataFrame, keys: Sequence[str], salt: str, text: str = "t
     Every row is read once for all detectors. ``min_entropy`` drops matches with
     fewer bits per character.
     """
-    hits = _hits(df, keys, text, detectors)
+    return _findings(_hits(df, keys, text, detectors), keys, salt, min_entropy)
+
+
+def detect_in_diffs(diffs: DataFrame, salt: str, min_entropy: float | None = None) -> DataFrame:
+    """Findings in the changed lines of diffs, those that span lines as a whole."""
+    keys = ["repo", "sha", "file", "line_no", "sign"]
+    single = [d for d in DETECTORS if d not in MULTI_LINE]
+    # Few diffs hold a match that can span lines; a byte search finds them.
+    spanning = diffs.filter(reduce(lambda a, b: a | b, [F.col("diff").contains(h) for d in MULTI_LINE for h in d.hints]))
+    hits = _hits(diff_lines(diffs), keys, "text", single).unionByName(multi_line_hits(spanning, keys))
+    return _findings(hits, keys, salt, min_entropy)
+
+
+def _findings(hits: DataFrame, keys: Sequence[str], salt: str, min_entropy: float | None) -> DataFrame:
     if min_entropy is not None:
         hits = hits.filter(S.shannon_entropy(F.col("_value")) >= min_entropy)
     return hits.select(*keys, "detector", "pos",

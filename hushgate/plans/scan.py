@@ -11,7 +11,7 @@ from hushgate.functions.secrets import has_secret
 from hushgate.operators import events as E
 from hushgate.operators.attribute import Owned, attribute_events, owned_only
 from hushgate.operators.classify import classify_batch, suspicious_only
-from hushgate.operators.detect import detect_secrets, diff_lines
+from hushgate.operators.detect import detect_in_diffs
 from hushgate.operators.resolve import attach_diffs, resolve_messages
 
 
@@ -41,13 +41,12 @@ def scan_diffs(diffs: DataFrame, salt: str, min_entropy: float | None = None) ->
     """Findings in the changed lines of diffs.
 
     Removed lines count too: a commit that cleans up a leak shows the value there.
-    Whatever matches in a line matches in its diff, so diffs without any match
-    are dropped first. Spark moves that test below the join that attaches the
+    Whatever matches in a line matches in its diff, as does the first line of a
+    private key, so diffs without any match are dropped first. Spark moves that test below the join that attaches the
     diffs: only diffs that hold something are shuffled and taken apart.
     """
     holding = diffs.filter(has_secret(F.col("diff")))
-    return detect_secrets(diff_lines(holding), ["repo", "sha", "file", "line_no", "sign"], salt,
-                          min_entropy=min_entropy)
+    return detect_in_diffs(holding, salt, min_entropy)
 
 
 def scan(raw: DataFrame, commits: DataFrame, diffs: DataFrame, salt: str, *,

@@ -190,6 +190,9 @@ DETECTORS = [
     Detector("long_hex", "", r"\p{XDigit}{32,}"),
 ]
 
+#: Matches of these can span lines.
+MULTI_LINE = [d for d in DETECTORS if d.name == "private_key"]
+
 GENERIC_DETECTORS = ["private_key", "assignment", "long_hex"]
 
 MASK = "***"

@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import pytest
@@ -137,3 +138,16 @@ def test_lines_that_look_like_file_headers(spark):
     got = D.diff_lines(spark.createDataFrame([("o/r", "1", diff)], "repo string, sha string, diff string")).collect()
     assert sorted((r.file, r.line_no, r.sign, r.text) for r in got) == [
         ("q.sql", 1, "+", "++ b/x token"), ("q.sql", 1, "-", "-- a/note token"), ("q.sql", 9, "+", "- new"), ("q.sql", 9, "-", "- old")]
+
+
+def test_private_keys_in_diffs_are_whole(spark):
+    from hushgate.plans.scan import scan_diffs
+
+    key = lambda body: ["-----BEGIN RSA PRIVATE KEY-----", *body, "-----END RSA PRIVATE KEY-----"]
+    hunk = lambda body: "".join(f"+{x}\n" for x in ["one", *key(body)])
+    diff = lambda body: f"diff --git a/k b/k\n--- a/k\n+++ b/k\n@@ -1,0 +5,6 @@\n{hunk(body)}"
+    diffs = spark.createDataFrame([("o/r", "1", diff(["RkFLRQ==", "Rg=="])), ("o/r", "2", diff(["T1RIRVI="]))], "repo string, sha string, diff string")
+    got = {r.sha: r for r in scan_diffs(diffs, SALT).collect()}
+    assert {(r.detector, r.line_no, r.sign) for r in got.values()} == {("private_key", 6, "+")}
+    whole = "\n".join(key(["RkFLRQ==", "Rg=="]))
+    assert got["1"].secret_fp == hashlib.sha256((SALT + whole).encode()).hexdigest() != got["2"].secret_fp
