@@ -45,12 +45,12 @@ def suspicious_table(suspicious: DataFrame, width: int = 50) -> DataFrame:
         truncate_ellipsis(S.redact_text(F.col("message")), width).alias("message"))
 
 
-def first_errors(errors: DataFrame, n: int = 5, line: str = "line") -> DataFrame:
-    """The first ``n`` error lines, redacted and cut, each with the total count."""
+def first_errors(errors: DataFrame, n: int = 5, line: str = "line", width: int | None = None) -> DataFrame:
+    """The first ``n`` error lines, redacted, each with the total count; ``width`` cuts them, else they are whole."""
     total = errors.agg(F.count("*").alias("total")).select("total").scalar()
+    shown = S.redact_text(F.col(line))
     return (errors.orderBy(line).limit(n)
-            .select(total.alias("errors"),
-                    truncate_ellipsis(S.redact_text(F.col(line)), 120).alias("line")))
+            .select(total.alias("errors"), (truncate_ellipsis(shown, width) if width else shown).alias("line")))
 
 
 def finding_distincts(findings: DataFrame) -> DataFrame:
