@@ -33,13 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushgate.llm.common import mix64, only_buckets_of, text_buffer
+from hushgate.llm.common import mix64, only_buckets_of, stage, text_buffer
 from hushgate.llm.components import components
-from hushgate.sources.store import stage
 
 #: Common tokens: kept entries, least sum of local counts, tokens counted at a time, share of documents that counts locally.
 COMMON, LEAST_COMMON, COUNTED, LOCAL_SHARE = 1 << 18, 48, 1 << 22, 1000
-PARITY_WORDS = 8
+#: Least bits of a parity map; a larger set has as many as it has tokens, up to a power of two.
+PARITY_BITS = 512
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _BASE = 0xA0761D6478BD642F
@@ -136,18 +136,19 @@ def set_index(docs: DataFrame, common: np.ndarray, key: str, text: str, n: int,
                     hot = known[np.minimum(at, len(known) - 1)] == s
                 order = np.r_[s[~hot], s[hot][np.argsort(rank[at[hot]])]] if hot.any() else s
                 firsts.append(order[: len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0].view(np.int64))
-                bits = np.bincount((mix64(s + np.uint64(1)) >> np.uint64(55)).astype(np.int64), minlength=512)[: 64 * PARITY_WORDS] & 1
-                parities.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+                bits = max(PARITY_BITS, 1 << max(0, len(s) - 1).bit_length())
+                place = (mix64(s + np.uint64(1)) & np.uint64(bits - 1)).astype(np.int64)
+                parities.append(np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).tobytes())
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sizes.append(len(s))
             d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             as_list = lambda x: pa.array(x, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(d[:, j])) for j in (0, 1)),
-                 as_list(firsts), as_list(parities)], names=["key", "n", "d1", "d2", "first", "parity"])
+                 as_list(firsts), pa.array(parities, pa.binary())], names=["key", "n", "d1", "d2", "first", "parity"])
 
     return docs.select(F.col(key).cast("long").alias("key"), text).mapInArrow(
-        run, "key long, n long, d1 long, d2 long, first array<long>, parity array<long>")
+        run, "key long, n long, d1 long, d2 long, first array<long>, parity binary")
 
 
 def _compare(percent: int, n: int):
@@ -172,13 +173,32 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, n: int, pe
     return stage(both.mapInArrow(_compare(percent, n), "a long, b long"), "links").distinct()
 
 
+def least_difference(x: bytes, y: bytes) -> int:
+    """Odd places of one parity map against the other; the larger map is folded to the size of the smaller."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _bounded(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = np.array([least_difference(x, y) for x, y in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist())], np.int64)
+            both = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            keep = pa.array(least * (100 + percent) <= both * (100 - percent))
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (batch.column("a"), batch.column("b"), pa.array(least))], names=["a", "b", "least"])
+    return run
+
+
 def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Add ``least``, a lower bound of the sets' difference, and drop pairs it rules out."""
     side = lambda c: sets.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("parity").alias(f"p{c}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b")
-    least = sum((F.bit_count(F.get("pa", F.lit(i)).bitwiseXOR(F.get("pb", F.lit(i)))) for i in range(PARITY_WORDS)), F.lit(0))
-    return (rows.withColumn("least", least).filter(F.col("least") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
-            .select("a", "b", "least"))
+    sized = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").filter(sized)
+    return rows.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(_bounded(percent), "a long, b long, least long")
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
@@ -187,10 +207,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     sets = stage(found.filter("n > 0 and key is not null").groupBy("d1", "d2").agg(
         F.min("key").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("parity").alias("parity")), "set-reps")
     entries = sets.select("rep", F.posexplode("first").alias("pos", "token"))
-    lists = entries.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").select("token")
+    # Sums are staged where rows come back to them, so that Spark can split the rows of a hot token.
+    lists = stage(entries.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").select("token"), "list-tokens")
     index = stage(entries.join(lists, "token"), "lists")
     # Each set and the most promising leader of its lists.
-    leaders = index.groupBy("token").agg(F.min("rep").alias("a"))
+    leaders = stage(index.groupBy("token").agg(F.min("rep").alias("a")), "leaders")
     led = index.join(leaders, "token").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
     best = _near(led, sets, percent).groupBy("b").agg(F.min(F.struct("least", "a")).alias("m")).select("b", F.col("m.a").alias("a"))
     links = _verified(best.select("a", "b"), docs, key, text, n, percent)
@@ -200,7 +221,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = (index.join(known, F.col("rep") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rep"))
             .select("token", "pos", "rep", "c").join(sets.select("rep", "n", block.alias("block")), "rep"))
     mixed = rows.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("token")
-    rows = stage(rows.join(mixed, "token"), "open-lists")
+    rows = stage(rows.join(stage(mixed, "mixed"), "token"), "open-lists")
     left = rows.select("token", F.col("pos").alias("ip"), F.col("rep").alias("i"), F.col("c").alias("ic"), F.col("n").alias("in"),
                        F.explode(F.array("block", F.col("block") + 1)).alias("block"), F.col("block").alias("ib"))
     right = rows.select("token", "block", F.col("pos").alias("jp"), F.col("rep").alias("j"), F.col("c").alias("jc"), F.col("n").alias("jn"))
