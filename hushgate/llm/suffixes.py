@@ -34,8 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushgate.llm.common import empty_text, mix64, text_buffer
-from hushgate.sources.store import stage
+from hushgate.llm.common import empty_text, mix64, only_buckets_of, stage, text_buffer
 
 LENGTH = 400
 GRAM = 64
@@ -226,18 +225,20 @@ def _one_of_each(texts: DataFrame) -> DataFrame:
 def repeated_spans(texts: DataFrame, most_in_group: int = MOST_IN_GROUP) -> DataFrame:
     """``(h1, h2, start, end)`` of repeated strings, from ``(h1, h2, text)`` with all copies; spans can overlap."""
     found = stage(texts.filter(F.octet_length("text") >= LENGTH).mapInArrow(_find_anchors, ROW), "anchors")
-    again = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # Counts are staged before rows come back to them, so that Spark can split the rows of a hot gram.
+    again = stage(found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "grams-again")
     first = stage(found.join(again, "gram"), "anchors-again")
-    ranges = first.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min("h1").alias("of"))
+    ranges = stage(first.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min("h1").alias("of")), "ranges")
     first = stage(first.join(ranges, ["c1", "c2"]).select(
         "h1", "h2", "pos", "lo", "hi", "gram", (F.col("n") > 1).alias("settled"), (F.col("h1") == F.col("of")).alias("shown")), "anchors-settled")
     spans = first.filter("settled").select("h1", "h2", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + LENGTH).alias("end"))
     # What is open meets one place of each settled range of its gram.
     mixed = first.groupBy("gram").agg(F.sum(F.when(F.col("settled"), 0).otherwise(1)).alias("open"),
                                       F.sum(F.when(F.col("shown"), 1).otherwise(0)).alias("n")).filter("open > 0")
+    mixed = stage(mixed, "mixed")
     rows = first.filter("shown or not settled").join(mixed.select("gram", (F.col("n") > most_in_group).alias("many")), "gram")
-    places = rows.groupBy("h1", "h2").agg(F.collect_set(F.struct("gram", "pos", "lo", "hi", "many")).alias("places"))
-    open_texts = stage(_one_of_each(texts).join(places, ["h1", "h2"]).select("h1", "h2", "text", "places"), "open-texts")
+    places = stage(rows.groupBy("h1", "h2").agg(F.collect_set(F.struct("gram", "pos", "lo", "hi", "many")).alias("places")), "open-places")
+    open_texts = stage(_one_of_each(only_buckets_of(texts, places, "h1")).join(places, ["h1", "h2"]).select("h1", "h2", "text", "places"), "open-texts")
 
     def contexts(many: bool) -> DataFrame:
         some = open_texts.withColumn("places", F.filter("places", lambda p: p["many"] == many)).filter("size(places) > 0")
@@ -289,7 +290,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", mos
     rows = docs.select(F.col(key), t.alias("text"), F.xxhash64(t).alias("h1"), F.xxhash64(F.lit("b"), t).alias("h2"))
     texts = rows.select("h1", "h2", "text")
     runs = repeated_spans(texts, most_in_group).groupBy("h1", "h2").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    done = _one_of_each(texts).join(runs, ["h1", "h2"]).select("h1", "h2", "text", "spans").mapInArrow(_remove, DONE)
+    runs = stage(runs, "runs")
+    done = _one_of_each(only_buckets_of(texts, runs, "h1")).join(runs, ["h1", "h2"]).select("h1", "h2", "text", "spans").mapInArrow(_remove, DONE)
     whole = rows.select(key, "h1", "h2", F.octet_length("text").cast("long").alias("n_bytes"),
                         F.sha2(F.encode("text", "UTF-8"), 256).alias("own"))
     zero = F.lit(0).cast("long")
