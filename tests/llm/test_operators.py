@@ -332,6 +332,20 @@ def test_secret_scan(spark, odd, nothing):
     assert secretscan.scan(odd, secretscan.identifier_dictionary(nothing)).count() == 10
 
 
+def test_base_spans_are_those_of_plain_patterns():
+    either = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
+    words_ = "|".join([*map(either, ("password", "passwd", "secret", "token")), f"{either('api')}_?{either('key')}"])
+    assign = re.compile(rf"""({words_})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    r = random.Random(11)
+    bits = ["password", "PASSWD", "secret", "Token", "api_key", "APIKEY", "=", ": ", '"', "'", " ", "abc", "AKIA", "Q9" * 8, "0af" * 8, "f" * 5, "é", "ſ", "\n"]
+    for _ in range(20_000):
+        t = "".join(r.choice(bits) for _ in range(r.randrange(14)))
+        want = [("assign", *m.span()) for m in assign.finditer(t) if len(m[2]) >= 6]
+        want += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        want += [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+        assert secretscan.base_spans(t) == want, t
+
+
 # ---- suffixes --------------------------------------------------------------
 
 def brute_removed(texts, n=400):
