@@ -37,7 +37,7 @@ from hushgate.llm.common import mix64, only_buckets_of, stage, text_buffer
 from hushgate.llm.components import components
 
 #: Common tokens: kept entries, least sum of local counts, tokens counted at a time, share of documents that counts locally.
-COMMON, LEAST_COMMON, COUNTED, LOCAL_SHARE = 1 << 18, 48, 1 << 22, 1000
+COMMON, LEAST_COMMON, COUNTED, LOCAL_SHARE = 1 << 18, 24, 1 << 22, 4000
 #: Least bits of a parity map; a larger set has as many as it has tokens, up to a power of two.
 PARITY_BITS = 512
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
