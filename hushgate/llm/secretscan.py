@@ -2,11 +2,14 @@
 
 The base kinds are patterns. Besides these, a long string shortly after a
 sensitive word is a candidate: the text around it is compressed with and
-without it, after a dictionary of the corpus' own identifiers, and a candidate
-whose marginal bytes are about its own length is reported as ``novel``.
+without it, after a dictionary of the corpus' own identifiers. Marginal bytes
+depend on length, alphabet and surroundings, so a candidate is compared with
+random strings of its own length and alphabet in its own place, and is reported
+as ``novel`` when it costs about what they cost. Up to some 20 characters unseen
+names cost as much as random letters, so what reads like a name is not reported.
 
-The dictionary holds the most frequent identifiers of all documents; its
-entries are a fixed number.
+The dictionary holds the most frequent identifiers of all documents that read
+like names; its entries are a fixed number.
 
 Spans are whole matches in code points, the end excluded. Defined results:
 null and empty texts have no spans; null keys and repeated rows are scanned as
@@ -16,8 +19,11 @@ columns are ignored by ``scan`` and kept by ``redact``.
 
 from __future__ import annotations
 
+import random
 import re
-from collections.abc import Iterator
+import string
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import zstandard as zs
@@ -38,8 +44,17 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 REACH = 48
 #: Characters on each side that count as surroundings.
 AROUND = 96
-#: Least marginal bytes for each character, and least digits and letters.
-LEAST_RATIO, LEAST_DIGITS, LEAST_LETTERS = 0.85, 3, 3
+#: Ends what is compressed, since zstandard does not look for matches in its last bytes.
+TAIL = b"\n.\t;" * 4
+#: Least share of the marginal bytes of random strings, and bytes that a random string may miss by chance matches.
+LEAST_SHARE, CHANCE_BYTES = 0.95, 3
+#: Random strings for each candidate; long ones vary less, so one is enough from ``RANDOM_CHARS`` on.
+RANDOM_STRINGS, RANDOM_CHARS = 8, 512
+#: Letter pairs frequent in names; those of the dictionary come on top.
+PAIRS = frozenset("""th he in er an re nd on at en es ed te ti or st ar to it is ng as io le nt al et se ha ou me ve ea
+    ro co de ra li ri ic ne el la ce ch om us ss il ac ec ct pe ma tr ge lo ur di ns na so si pa ut ad""".split())
+#: A string reads like a name when at least this share of its neighbouring characters are such pairs.
+NAME_SHARE = 0.45
 #: Names without digits, so that no candidate explains itself.
 IDENTIFIER = r"[A-Za-z_][A-Za-z_.-]{7,31}"
 IDENTIFIERS = 4096
@@ -47,10 +62,42 @@ _HEX_RUNS = bytes(104 if chr(c) in "0123456789abcdef" else 32 for c in range(256
 
 
 def identifier_dictionary(docs: DataFrame, text: str = "text", entries: int = IDENTIFIERS) -> bytes:
-    """The most frequent identifiers of all documents, the most frequent last, where matches cost least."""
+    """The most frequent identifiers of all documents, the most frequent last, where matches cost least.
+
+    Of twice as many, those that do not read like names give way, so that no random letters explain themselves.
+    """
     found = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(IDENTIFIER), F.lit(0))).alias("w"))
-    top = found.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(entries).collect()
-    return " ".join(r.w for r in reversed(top)).encode().rjust(8)
+    top = found.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(2 * entries).collect()
+    pairs = name_pairs(r.w for r in top)
+    return " ".join([r.w for r in top if reads_like_name(r.w, pairs)][:entries][::-1]).encode().rjust(8)
+
+
+def _pairs(text: str) -> list[str]:
+    """Neighbouring letters without regard to case, but for capitals after small letters, where names join."""
+    return [(a + b).lower() for a, b in zip(text, text[1:]) if a.isalpha() and b.isalpha() and not (a.islower() and b.isupper())]
+
+
+def name_pairs(names: Iterable[str]) -> frozenset[str]:
+    """Letter pairs frequent in names, and those that every twentieth of ``names`` has, three at least."""
+    each = [set(_pairs(n)) for n in set(names)]
+    seen = Counter(p for pairs in each for p in pairs)
+    return PAIRS | {p for p, n in seen.items() if n >= max(3, len(each) / 20)}
+
+
+def reads_like_name(text: str, pairs: frozenset[str]) -> bool:
+    """Pairs with a sign do not count, as signs part the words of a name."""
+    all_pairs = sum(a.isalnum() and b.isalnum() for a, b in zip(text, text[1:]))
+    return all_pairs > 0 and sum(p in pairs for p in _pairs(text)) >= NAME_SHARE * all_pairs
+
+
+def _alphabet(own: str) -> str:
+    """Digits, hex or all letters of each case, and single signs, as far as ``own`` has them."""
+    parts = [string.digits] if any(c.isdigit() for c in own) else []
+    hexed = all(c in string.hexdigits for c in own if c.isalpha()) and bool(parts)
+    for letters in (string.ascii_lowercase, string.ascii_uppercase):
+        if any(c in letters for c in own):
+            parts.append(letters[:6] if hexed else letters)
+    return "".join(parts) + "".join(sorted({c for c in own if not c.isalnum()}))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -71,11 +118,21 @@ class Novelty:
             level=9, dict_data=zs.ZstdCompressionDict(dictionary, dict_type=zs.DICT_TYPE_RAWCONTENT),
             write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
-    def ratio(self, text: str, start: int, end: int) -> float:
-        """Marginal compressed bytes of ``text[start:end]`` for each of its bytes."""
-        before, after = text[max(0, start - AROUND):start].encode(), text[end:end + AROUND].encode()
-        own = text[start:end].encode()
-        return (len(self.compress(before + after + own)) - len(self.compress(before + after))) / len(own)
+        self.pairs = name_pairs(dictionary.decode().split())
+
+    def is_novel(self, text: str, start: int, end: int) -> bool:
+        """Whether ``text[start:end]`` adds about as many compressed bytes as random strings in its place."""
+        own = text[start:end]
+        alphabet = _alphabet(own)
+        if len(set(own)) == 1 or reads_like_name(own, self.pairs):
+            return False
+        before, after = text[max(0, start - AROUND):start].encode(), text[end:end + AROUND].encode() + TAIL
+        bare = len(self.compress(before + after))
+        cost = lambda s: len(self.compress(before + s.encode() + after)) - bare
+        r = random.Random(own)  # the same strings in every run
+        count = max(1, min(RANDOM_STRINGS, RANDOM_CHARS // len(own)))
+        drawn = ("".join(r.choices(alphabet, k=len(own))) for _ in range(count))
+        return cost(own) >= LEAST_SHARE * sum(map(cost, drawn)) / count - CHANCE_BYTES
 
     def spans(self, text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
         low = text.lower()
@@ -87,12 +144,10 @@ class Novelty:
             for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH)):
                 start = m.start()
                 end = CANDIDATE.match(text, start).end()  # the whole run, however long
-                own = text[start:end]
-                if (start in seen or any(a < end and start < b for a, b in held)
-                        or sum(c.isdigit() for c in own) < LEAST_DIGITS or sum(c.isalpha() for c in own) < LEAST_LETTERS):
+                if start in seen or any(a < end and start < b for a, b in held):
                     continue
                 seen.add(start)
-                if self.ratio(text, start, end) >= LEAST_RATIO and not any(a < end and start < b for _, a, b in out):
+                if self.is_novel(text, start, end) and not any(a < end and start < b for _, a, b in out):
                     out.append(("novel", start, end))
         return out
 

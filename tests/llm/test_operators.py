@@ -346,6 +346,38 @@ def test_base_spans_are_those_of_plain_patterns():
         assert secretscan.base_spans(t) == want, t
 
 
+def test_random_keys_of_any_alphabet_and_length_are_novel_and_names_are_not():
+    r = random.Random(3)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    parts = ["tion", "er", "pro", "vid", "count", "set", "net", "ing", "con", "al", "user", "log", "stor", "age", "the", "read", "mess", "form"]
+    names = sorted({"".join(r.choice(parts) for _ in range(4)) for _ in range(600)})
+    novelty = secretscan.Novelty(" ".join(names[::2]).encode())
+    found = lambda own: ("novel", len(pre), len(pre + own)) in novelty.spans(pre + own + " " + post, [])
+    for alphabet in (lower + upper + digits + "+/", lower + digits, digits + "ABCDEF", digits + "abcdef", lower, lower + upper, digits):
+        for size in (16, 20, 24, 32, 64, 128, 256):
+            hits = 0
+            for _ in range(20):
+                pre, post = f"{words(r.random(), 30)} Authorization: bearer ", words(r.random(), 30)
+                hits += found("".join(r.choices(alphabet, k=size)))
+            assert hits >= 18, (alphabet, size, hits)
+    for join in ("", "_", "/"):
+        for count in (2, 4, 8):
+            hits = 0
+            for _ in range(40):
+                pre, post = f"{words(r.random(), 30)} Authorization: bearer ", words(r.random(), 30)
+                hits += found(join.join(r.choices(names[1::2], k=count)))
+            assert hits <= 2, (join, count, hits)
+    pre, post = "bearer ", words(1, 30)
+    assert not any(map(found, ["-" * 20, "-" * 20 + "1", "a" * 20 + "12", "0" * 24]))
+
+
+def test_no_random_letters_in_the_dictionary(spark):
+    docs = doc_table(spark, ["bearer qwzkjvhxpmtrbfyg", "the application settings", "bearer XqWzKjVhPmTrBfYg"])
+    d = secretscan.identifier_dictionary(docs)
+    assert d.split() == [b"settings", b"application"]
+    assert [len(x.spans) for x in secretscan.scan(docs, d).orderBy("doc_id").collect()] == [1, 0, 1]
+
+
 # ---- suffixes --------------------------------------------------------------
 
 def brute_removed(texts, n=400):
