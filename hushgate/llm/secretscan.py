@@ -1,6 +1,6 @@
 """Secrets in texts: fixed patterns, and strings that zstandard cannot explain from their surroundings.
 
-The base kinds are patterns. Besides these, a long string shortly after a
+The base kinds are patterns. Besides these, a long string shortly before or after a
 sensitive word is a candidate: the text around it is compressed with and
 without it, after a dictionary of the corpus' own identifiers. Marginal bytes
 depend on length, alphabet and surroundings, so a candidate is compared with
@@ -22,6 +22,7 @@ from __future__ import annotations
 import random
 import re
 import string
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -39,8 +40,9 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
 SENSITIVE_WORDS = (*ASSIGN_WORDS, "credential", "bearer", "private", "access", "auth", "key", "login", "passphrase", "signature")
 _SENSITIVE = re.compile("(?ai)" + "|".join(sorted(SENSITIVE_WORDS, key=len, reverse=True)))
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: A candidate begins at most so many characters after the end of a sensitive word.
+LEAST_RUN = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
+#: A candidate begins at most so many characters after the end of a sensitive word, or ends as many before its start.
 REACH = 48
 #: Characters on each side that count as surroundings.
 AROUND = 96
@@ -112,6 +114,24 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def candidates(text: str) -> set[tuple[int, int]]:
+    """Strings that begin at most ``REACH`` characters after a sensitive word or end as shortly before one; a word cuts a run."""
+    out: set[tuple[int, int]] = set()
+    runs = [m.span() for m in CANDIDATE.finditer(text)]
+    starts, ends = [a for a, _ in runs], [b for _, b in runs]
+    for word in _SENSITIVE.finditer(text):
+        a, b = word.span()
+        for start, end in runs[bisect_right(ends, a - REACH - 1):bisect_right(starts, b + REACH)]:
+            if start < a and end > a:  # the run goes into the word
+                end, rest = a, end
+                out |= {(b, rest)} if rest - b >= LEAST_RUN else set()
+            elif a <= start < b:
+                start = b
+            if end - start >= LEAST_RUN:
+                out.add((start, end))
+    return out
+
+
 class Novelty:
     def __init__(self, dictionary: bytes):
         self.compress = zs.ZstdCompressor(
@@ -139,16 +159,11 @@ class Novelty:
         if not any(w in low for w in SENSITIVE_WORDS):
             return []
         held = sorted((a, b) for _, a, b in taken)
-        out, seen = [], set()
-        for word in _SENSITIVE.finditer(text):
-            for m in CANDIDATE.finditer(text, word.end(), min(len(text), word.end() + REACH)):
-                start = m.start()
-                end = CANDIDATE.match(text, start).end()  # the whole run, however long
-                if start in seen or any(a < end and start < b for a, b in held):
-                    continue
-                seen.add(start)
-                if self.is_novel(text, start, end) and not any(a < end and start < b for _, a, b in out):
-                    out.append(("novel", start, end))
+        good = [c for c in sorted(candidates(text)) if not any(a < c[1] and c[0] < b for a, b in held) and self.is_novel(text, *c)]
+        out = []
+        for start, end in sorted(good, key=lambda c: (c[0] - c[1], c)):  # the longest of those that overlap
+            if not any(a < end and start < b for _, a, b in out):
+                out.append(("novel", start, end))
         return out
 
 

@@ -378,6 +378,25 @@ def test_no_random_letters_in_the_dictionary(spark):
     assert [len(x.spans) for x in secretscan.scan(docs, d).orderBy("doc_id").collect()] == [1, 0, 1]
 
 
+def test_candidates_at_every_gap_on_both_sides_of_the_word():
+    key = "uJ7kQ2pXw9ZrT4vB8nLm"
+    for gap in range(52):
+        for pad in (" ", "."):
+            for word in ("bearer", "KEY"):
+                after, before = word + pad * gap + key, key + pad * gap + word
+                assert (secretscan.candidates(after) == {(len(after) - len(key), len(after))}) == (gap <= 48), (gap, after)
+                assert (secretscan.candidates(before) == {(0, len(key))}) == (gap <= 48), (gap, before)
+    assert secretscan.candidates("bearer" + " " * 48 + "Q" * 16) == {(54, 70)}
+    assert secretscan.candidates("Q" * 16 + "key" + "Z" * 300) == {(0, 16), (19, 319)}
+    novelty = secretscan.Novelty(b"")
+    long = words(4, 30)
+    for text in (f"{long} {key} is the token of {long}", f"{long} bearer" + " " * 40 + f"{key} {long}"):
+        assert novelty.spans(text, []) == [("novel", text.index(key), text.index(key) + len(key))]
+    inner = "uJ7kQ2pXw9ZrT4vB" + "key" + "8nLmF3sYc6HdGa1RtWq5"
+    text = f"bearer {inner} and token"
+    assert novelty.spans(text, []) == [("novel", 7, 7 + len(inner))]
+
+
 # ---- suffixes --------------------------------------------------------------
 
 def brute_removed(texts, n=400):
