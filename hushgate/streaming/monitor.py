@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from hushgate.functions.secrets import redact_text
 from hushgate.operators.attribute import Owned, attribute_events
-from hushgate.operators.classify import classify, suspicious_only
-from hushgate.plans.scan import commit_events
-from hushgate.schemas import RAW_EVENT
+from hushgate.operators.classify import classify, classify_batch, suspicious_only
+from hushgate.operators.resolve import KEYS, attach_diffs, resolve_messages, unresolved_pushes
+from hushgate.plans.scan import commit_events, scan_diffs
+from hushgate.schemas import CORRUPT_COLUMN, RAW_EVENT, RAW_EVENT_WITH_CORRUPT
 from hushgate.sources.store import new_path
 
 DELAY = "2 hours"
@@ -27,16 +29,28 @@ def read_archive_stream(spark: SparkSession, path: str, files_per_batch: int | N
     return reader.json(path).filter(F.col("type").isNotNull())
 
 
+def read_archive_lines(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Every line but blank ones: parsed events, and lines that are no events as redacted text in the corrupt column."""
+    reader = spark.readStream
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    event = F.from_json("value", RAW_EVENT_WITH_CORRUPT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT_COLUMN})
+    bad = F.col(f"e.{CORRUPT_COLUMN}").isNotNull() | F.col("e.type").isNull()
+    return (reader.text(path).filter(F.trim("value") != "").select("value", event.alias("e"))
+            .select(*[f"e.{f.name}" for f in RAW_EVENT.fields],
+                    F.when(bad, redact_text(F.col("value"))).alias(CORRUPT_COLUMN)))
+
+
 def _event_time(df: DataFrame, ts: str = "ts", delay: str = DELAY) -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
 def monitor_stream(raw: DataFrame, commits: DataFrame, owned: tuple[Owned, Owned] | None = None) -> DataFrame:
-    """Suspicious commits of a stream of raw events.
+    """Suspicious commits of a stream of raw events: the classifying part of :func:`run_monitor`.
 
-    ``commits`` is a table; Spark reads its current content in every batch.
+    ``commits`` is a table; Spark reads its current content in every batch. A push
+    whose commit is stored after its batch is left out; ``run_monitor`` keeps it.
     """
-    from hushgate.operators.resolve import resolve_messages
     return suspicious_only(classify(resolve_messages(commit_events(raw, owned), commits)))
 
 
@@ -93,6 +107,72 @@ def alert_stream(findings: DataFrame, path: str, checkpoint: str,
     return _trigger(writer, interval).start()
 
 
+def run_monitor(raw: DataFrame, commits: DataFrame, diffs: DataFrame, salt: str, path: str, checkpoint: str, *,
+                owned: tuple[Owned, Owned] | None = None, scorer: str | None = None,
+                verified: DataFrame | None = None, interval: str | None = None) -> StreamingQuery:
+    """Raw events to findings and alerts, batch by batch, each output in ``path/<name>/batch=<number>``.
+
+    - ``broken``: lines that are no events, if ``raw`` is of :func:`read_archive_lines`;
+    - ``unresolved``: pushes whose commit is not stored yet; every later batch looks again;
+    - ``suspicious``: suspicious commits, secrets in their messages masked;
+    - ``without_diff``: keys of suspicious commits whose diff is not stored yet; looked for again likewise;
+    - ``scanned``: keys whose diff was scanned; a commit is scanned once, in whatever batch it comes again;
+    - ``findings``: findings in those diffs, ``verified`` where the table ``verified(secret_fp, verified)`` knows them;
+    - ``alerts``: the verified ones, no folder for a batch without any.
+
+    ``unresolved`` and ``without_diff`` of the newest batch are what is open; nothing
+    gives up on them. Looking again takes a batch, thus new events. Tables are read
+    anew in each batch, so ``owned`` may be tables as well. A batch that is run
+    again replaces its output; ``path`` and ``checkpoint`` belong together.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+
+        def put(df: DataFrame, name: str) -> DataFrame:
+            """What a batch decides is read from what it wrote: the tables may grow meanwhile."""
+            df.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+            return spark.read.schema(df.schema).parquet(f"{path}/{name}/batch={number}")
+
+        def earlier(schema, name: str) -> DataFrame:
+            return spark.read.schema(schema).parquet(f"{path}/{name}/batch={number - 1}")
+
+        def missing(wanted: DataFrame, those: DataFrame) -> DataFrame:
+            return wanted.join(those.select(*KEYS).distinct(), KEYS, "left_anti")
+
+        batch = batch.persist()
+        try:
+            events = batch
+            if CORRUPT_COLUMN in batch.columns:
+                put(batch.filter(F.col(CORRUPT_COLUMN).isNotNull()).select(F.col(CORRUPT_COLUMN).alias("line")), "broken")
+                events = batch.filter(F.col(CORRUPT_COLUMN).isNull()).drop(CORRUPT_COLUMN)
+            keyed = commit_events(events, owned)
+            if number:
+                keyed = keyed.unionByName(earlier(keyed.schema, "unresolved"))
+            unresolved = put(unresolved_pushes(keyed, commits), "unresolved")
+            ready = missing(keyed.filter(~F.col("is_pr")), unresolved).unionByName(keyed.filter("is_pr"))
+            found = suspicious_only(classify_batch(resolve_messages(ready, commits), scorer=scorer))
+            suspicious = put(found.withColumn("message", redact_text(F.col("message"))), "suspicious")
+
+            wanted = suspicious.filter(~F.col("is_pr")).select(*KEYS)
+            if number:
+                done = spark.read.schema("repo string, sha string, batch int").parquet(f"{path}/scanned")
+                wanted = missing(wanted.unionByName(earlier(wanted.schema, "without_diff")), done.filter(F.col("batch") < number))
+            wanted = wanted.distinct()
+            without = put(missing(wanted, diffs), "without_diff")
+            now = put(missing(wanted, without), "scanned")
+            findings = scan_diffs(attach_diffs(now, diffs), salt)
+            known = (verified.groupBy("secret_fp").agg(F.bool_or("verified").alias("verified")) if verified is not None
+                     else spark.createDataFrame([], "secret_fp string, verified boolean"))
+            alerts = put(findings.join(known, "secret_fp", "left"), "findings").filter("verified")
+            if not alerts.isEmpty():
+                put(alerts, "alerts")
+        finally:
+            batch.unpersist()
+
+    writer = raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return _trigger(writer, interval).start()
+
+
 def run_once(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Process everything available now and read the result as a table."""
     path, checkpoint = new_path(spark, name), new_path(spark, f"{name}-state")

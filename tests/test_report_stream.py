@@ -1,6 +1,8 @@
 import datetime as dt
+import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from hushgate.operators.classify import classify, classifier_stats, suspicious_only
 from hushgate.operators.summary import first_errors, run_summary
@@ -88,3 +90,46 @@ def test_archive_stream_skips_broken_lines(spark, tmp_path):
     (tmp_path / "2024-01-01-0.json").write_text('{"id": "1", "type": "PushEvent", "repo": {"name": "o/r"}}\n{"type": "Pu\n\n')
     rows = monitor.run_once(spark, monitor.read_archive_stream(spark, str(tmp_path)).select("id", "type"), "archive")
     assert [tuple(r) for r in rows.collect()] == [("1", "PushEvent")]
+
+
+def test_monitor_loses_no_push_diff_or_line(spark, tmp_path):
+    def push(n, repo="o/r"):
+        return json.dumps({"id": str(n), "type": "PushEvent", "created_at": "2024-01-01T01:00:00Z", "repo": {"name": repo},
+                           "payload": {"head": f"s{n}", "ref": "refs/heads/main"}})
+
+    table = lambda name, rows, ddl: spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    commits = lambda *ns: table("commits", [("o/r", f"s{n}", f"remove leaked api key {FAKE_KEY}") for n in ns], "repo string, sha string, message string")
+    diffs = lambda *ns: table("diffs", [("o/r", f"s{n}", f"diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n-k = {FAKE_KEY}{n}\n") for n in ns],
+                              "repo string, sha string, diff string")
+    names = spark.createDataFrame([("O",)], "handle string"), spark.createDataFrame([("none.example",)], "domain string")
+
+    def turn(hour, *lines):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"2024-01-01-{hour}.json").write_text("\n".join(lines) + "\n")
+        read = lambda name: spark.read.parquet(str(tmp_path / name))
+        known = read("out/findings").select("secret_fp").filter(F.lit(hour == 3)) if hour else None
+        known = known.withColumn("verified", F.lit(True)).localCheckpoint() if known is not None else None
+        monitor.run_monitor(monitor.read_archive_lines(spark, str(tmp_path / "in")), read("commits"), read("diffs"), "salt", str(tmp_path / "out"),
+                            str(tmp_path / "state"), owned=names, verified=known).awaitTermination()
+
+    def shas(name, batch):
+        return sorted(r.sha for r in spark.read.parquet(str(tmp_path / "out" / name / f"batch={batch}")).collect())
+
+    commits(1, 4)
+    diffs(1)
+    turn(0, push(1), push(2), push(4), push(1), push(9, "else/r"), '{"type": "Pu', "", '{"id": "5"}')
+    assert shas("unresolved", 0) == ["s2"] and shas("without_diff", 0) == ["s4"] and shas("findings", 0) == ["s1"]
+    broken = spark.read.parquet(str(tmp_path / "out/broken")).collect()
+    assert sorted(r.line for r in broken) == ['{"id": "5"}', '{"type": "Pu']
+    turn(1, push(1))
+    assert shas("unresolved", 1) == ["s2"] and shas("without_diff", 1) == ["s4"] and shas("findings", 1) == []
+    commits(2)
+    diffs(2, 4)
+    turn(2, push(3))
+    assert shas("unresolved", 2) == ["s3"] and shas("without_diff", 2) == [] and shas("findings", 2) == ["s2", "s4"]
+    assert not (tmp_path / "out/alerts").exists()
+    commits(3)
+    table("diffs", [("o/r", "s3", f"diff --git a/x b/x\n@@ -1 +1 @@\n+k = {FAKE_KEY}1\n")], "repo string, sha string, diff string")
+    turn(3, push(2))
+    assert shas("unresolved", 3) == [] and shas("suspicious", 3) == ["s2", "s3"] and shas("findings", 3) == shas("alerts", 3) == ["s3"]
+    assert not [r for name in ("suspicious", "findings") for r in spark.read.parquet(str(tmp_path / "out" / name)).collect() if FAKE_KEY in str(r)]
