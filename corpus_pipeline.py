@@ -6,8 +6,8 @@ writes every stage to the shared folder and reads it again.
 
 - toxicity: documents with a score at or above the threshold go.
 - near duplicates: of each group linked by a Jaccard similarity of 0.8 or more
-  on five-word shingles, the document with the least id stays; documents
-  without id or words stay.
+  on five-word shingles, the document with the least id stays, one without id
+  only if the group has no id; documents without words stay.
 - decontamination: documents that hold a window of a benchmark item go.
 - secrets: documents stay, found spans are replaced by a mark.
 - packing: all documents are tokenized and packed.
@@ -32,11 +32,17 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.jaccard_components(docs, n=SHINGLE_WORDS, percent=SIMILARITY_PERCENT)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    # A row that repeats another goes as well; both joins and grouping work on the partitioning by id.
-    kept = docs.select(COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.select(COLUMNS).filter("doc_id is null"))
+    # Ids can be missing or shared by different texts, so that each row gets a number of its own, fixed by writing it.
+    rows = stage(docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "corpus-rows")
+    groups = jaccard.jaccard_components(rows, key="_row", n=SHINGLE_WORDS, percent=SIMILARITY_PERCENT)
+    wordless = F.col("n_shingles") == 0
+    # Texts without words stay, but for repeated rows of one id.
+    of_group = [F.when(~wordless, F.col("component_id")), F.when(wordless, F.col("doc_id")), F.when(wordless, F.col("_text")),
+                F.when(wordless & F.col("doc_id").isNull(), F.col("_row"))]
+    first = (rows.select("_row", "doc_id", F.md5(F.encode("text", "UTF-8")).alias("_text")).join(groups, "_row")
+             .groupBy(*[c.alias(f"_g{i}") for i, c in enumerate(of_group)])
+             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_row")).alias("m")))
+    return rows.join(first.select(F.col("m._row").alias("_row")), "_row", "left_semi").select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,3 +47,13 @@ def test_pipeline_stage_by_stage(spark):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == set(rows["packing"])
     for name, t in tables[1:]:
         assert t.columns == corpus_pipeline.COLUMNS
+
+
+def test_one_of_each_group_stays_whatever_the_ids(spark):
+    text = lambda k: " ".join(f"w{'abcdefghij'[k]}{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(60))
+    rows = [(None, text(0)), (None, text(0)), (None, text(0) + " more"), (7, text(1)), (None, text(1)), (9, text(1) + " more"),
+            (3, text(2)), (5, text(2)), (5, text(3)), (5, text(3)), (None, ""), (None, ""), (4, None), (4, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t or "")) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(((r.doc_id, (r.text or "")[:3]) for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()), key=str)
+    assert got == sorted([(None, "waa"), (7, "wba"), (3, "wca"), (5, "wda"), (None, ""), (None, ""), (4, ""), (6, "")], key=str)
