@@ -74,7 +74,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bpe = tiktoken.Encoding("same", pat_str=PIECES_OF_TEXT, mergeable_ranks=byte_ranks(self.tokenizer.get_vocab()), special_tokens={})
         self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.words: dict[str, bytes] = {}
@@ -108,7 +108,7 @@ class Encoder:
         self.words.update((p, self.words[s] + self.marks[p[len(s):]]) for p, s in stems.items())
 
     def _parts(self, text: str) -> list[str] | None:
-        if _RUN.search(text):
+        if _RUN.search(text) or any(t in text for t in self.added):
             return None
         if not _LINES.search(text):
             return text.replace("\n", " \n").split(" ")

@@ -143,6 +143,17 @@ def test_locate_is_lexical():
 
 # ---- packing ---------------------------------------------------------------
 
+def test_added_tokens_in_texts_have_their_ids():
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(byte_bpe_path()), packing.Encoder(byte_bpe_path())
+    added = [t.content for t in tok.get_added_tokens_decoder().values()]
+    texts = [x for t in added for x in (t, f"one {t} two", f"one{t}two, three", f"{t}\n{t} end", f"a {t[:-1]} b", f"a {t.upper()} b")]
+    got = [np.frombuffer(x, "<u4").tolist() for x in enc.encode([*texts, "one two, three"])]
+    assert added and got == [tok.encode(t, add_special_tokens=False).ids for t in [*texts, "one two, three"]]
+    assert tok.token_to_id(added[0]) in got[1]
+
+
 def test_packing_places_every_id_once(spark, odd, nothing):
     from tokenizers import Tokenizer
 
