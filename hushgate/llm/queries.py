@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushgate.llm import chat, decontaminate, jaccard, neardup, packing, secretscan, sharding, suffixes, toxicity, warc
-from hushgate.llm.common import table
+from hushgate.llm import chat, decontaminate, jaccard, neardup, packing, quality, repair, secretscan, sharding, suffixes, toxicity, warc
+from hushgate.llm.common import sha256_hex, table
 from hushgate.sources.store import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -191,3 +191,67 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT a, min(c) AS c FROM r GRO
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approximate, so SQL has nothing to match; recall is tested against all pairs."""
     return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    done = repair.repair_conversations(repair.damage(turns)).withColumnRenamed("conv_id", "_conv")
+    zero = {c: F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    return (turns.select("conv_id").distinct().join(done, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+            .select("conv_id", *zero.values(), F.coalesce("audit", F.lit("")).alias("audit"),
+                    F.coalesce("repaired_sha256", sha256_hex(F.lit(""))).alias("repaired_sha256")))
+
+
+# The checksum of `conv_id:turn` bit by bit, and best repairs of each state as (cost, audit, text) row by row.
+SQL["op11_conversation_repair"] = r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(k, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda crc, b: list_reduce(list_prepend(xor(crc, b), [CAST(0 AS BIGINT) for z in range(8)]),
+          lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END)), CAST(4294967295 AS BIGINT)) % 20 AS kind FROM t),
+d AS (SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+             CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM (SELECT *, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE kind <> 0)),
+o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i,
+             regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS ink FROM d),
+f AS (SELECT *, CASE WHEN ink = '' THEN 1 WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 2
+                     WHEN ink NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+             lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) || left(role, 1) AS pair FROM o),
+ops(st, op, nx, ini, said, price) AS (VALUES (0, 'D', 0, '', '', 2), (1, 'D', 1, '', '', 2), (2, 'D', 2, '', '', 2), (3, 'D', 3, '', '', 2),
+  (0, 'K', 1, 's', '', 0), (0, 'K', 2, 'u', '', 0), (1, 'K', 2, 'u', '', 0), (2, 'K', 3, 'a', '', 0), (3, 'K', 2, 'u', '', 0),
+  (0, 'R', 2, '', 'user', 1), (1, 'R', 2, '', 'user', 1), (2, 'R', 3, '', 'assistant', 1), (3, 'R', 2, '', 'user', 1)),
+ins(st, nx, added, said) AS (VALUES (0, 0, '', ''), (1, 1, '', ''), (2, 2, '', ''), (3, 3, '', ''),
+  (0, 2, 'I', chr(10) || 'user:'), (1, 2, 'I', chr(10) || 'user:'), (2, 3, 'I', chr(10) || 'assistant:'), (3, 2, 'I', chr(10) || 'user:'),
+  (0, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')),
+v AS (
+  SELECT c, CAST(0 AS BIGINT) AS i, ins.nx AS st, {'cost': CAST(5 * length(added) AS BIGINT), 'audit': added, 'said': ins.said} AS x
+  FROM (SELECT DISTINCT c FROM f), ins WHERE ins.st = 0
+  UNION ALL
+  SELECT v.c, f.i, ins.nx, min({'cost': CAST(v.x.cost + ops.price + CASE WHEN fault = 3 AND ops.op <> 'D' THEN 5 ELSE 0 END + 5 * length(ins.added) AS BIGINT),
+      'audit': v.x.audit || ops.op || ins.added,
+      'said': v.x.said || CASE ops.op WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || role || ':' || text ELSE chr(10) || ops.said || ':' || text END || ins.said})
+  FROM v JOIN f ON f.c IS NOT DISTINCT FROM v.c AND f.i = v.i + 1 JOIN ops ON ops.st = v.st AND (op = 'D' OR fault IN (0, 3) AND (op = 'R' OR ini = left(role, 1)))
+  JOIN ins ON ins.st = ops.nx GROUP BY v.c, f.i, ins.nx),
+n AS (SELECT c, count(*) AS n, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS dup, count(*) FILTER (fault = 3) AS cut,
+             count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM f GROUP BY c),
+e AS (SELECT n.*, min(x) AS x FROM v JOIN n ON n.c IS NOT DISTINCT FROM v.c AND v.i = n.n WHERE st IN (0, 3) GROUP BY ALL)
+SELECT q.conv_id, CAST(coalesce(e.gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(e.blank, 0) AS BIGINT) AS blank, CAST(coalesce(e.dup, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(e.cut, 0) AS BIGINT) AS truncated, CAST(coalesce(e.illegal, 0) AS BIGINT) AS illegal, coalesce(x.cost, 0) AS cost,
+       coalesce(x.audit, '') AS audit, sha256(coalesce(substr(x.said, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN e ON e.c IS NOT DISTINCT FROM q.conv_id
+"""
+
+
+def quality_held_out(key: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
+
+
+@query
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tested by accuracy on the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels").filter(~quality_held_out()))
+    return quality.score(docs, model).select(
+        "doc_id", quality_held_out().alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
