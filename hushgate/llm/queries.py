@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushgate.llm import chat, decontaminate, jaccard, neardup, packing, quality, repair, secretscan, sharding, suffixes, toxicity, warc
+from hushgate.llm import alignment, chat, decontaminate, jaccard, neardup, packing, quality, repair, secretscan, sharding, suffixes, toxicity, warc
 from hushgate.llm.common import sha256_hex, table
 from hushgate.sources.store import new_path
 
@@ -255,3 +255,15 @@ def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.train(docs, table(spark, sf_dir, "labels").filter(~quality_held_out()))
     return quality.score(docs, model).select(
         "doc_id", quality_held_out().alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def piece_bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tested against plain loops over the tokenizers' own ids."""
+    return alignment.align_documents(table(spark, sf_dir, "documents"), byte_bpe_path(), piece_bpe_path())
