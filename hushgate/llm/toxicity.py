@@ -12,8 +12,9 @@ twice. Short chance matches are shut out by the minimum match length.
 
 The dictionaries and the fit use a bounded sample: at most ``SAMPLE``
 documents of each class for the dictionaries and as many again for the fit,
-none over ``SAMPLE_BYTES``, those with the smallest hash of their id. Scoring
-reads every window of every text.
+none over ``SAMPLE_BYTES``, those with the smallest hash of their id, and of
+their windows at most ``DICT_WINDOWS`` for each dictionary. Scoring reads
+every window of every text.
 
 Defined results: null and empty texts have one empty window and get the score
 of a text without savings; null keys and repeated rows are scored as they are;
@@ -24,18 +25,21 @@ share of label 1 (0 without labels); other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard as zs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hushgate.llm.common import stage
+
 WINDOW = 64
 SAMPLE, SAMPLE_BYTES = 2500, 32 << 10
+#: Windows that train a dictionary, and tasks that read the sample.
+DICT_WINDOWS, SAMPLE_TASKS = 40_000, 24
 ORDINARY_DICT, TOXIC_DICT = 8192, 2048
 #: A mark has so many different pairs of neighbours, at so many times the ordinary rate.
 LEAST_NEIGHBOURS, LEAST_RATE = 6, 5.0
@@ -87,15 +91,6 @@ class Scorer:
         return 1 / (1 + np.exp(-z))
 
 
-def _neighbours(texts: list[str]) -> dict[str, int]:
-    seen: dict[str, set] = defaultdict(set)
-    for t in texts:
-        words = ["", *_WORD.findall(t.lower()), ""]
-        for a, w, b in zip(words, words[1:], words[2:]):
-            seen[w].add(hash((a, b)))
-    return {w: len(s) for w, s in seen.items()}
-
-
 def _dictionary(samples: list[bytes], size: int) -> bytes:
     try:
         return zs.train_dictionary(size, samples, level=3).as_bytes()
@@ -103,18 +98,49 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[:size].ljust(8, b" ")
 
 
-def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    t, o = _neighbours(toxic), _neighbours(ordinary)
-    per_t, per_o = max(1, sum(t.values())), max(1, sum(o.values()))
-    least = min(LEAST_NEIGHBOURS, max(2, len(toxic) // 10))
-    marks = {w for w, n in t.items() if n >= least and n / per_t > LEAST_RATE * (o.get(w, 0) + 1) / per_o}
-    kept = []
-    for text in toxic:
-        for w in windows(text):
-            if found := [x for x in _WORD.findall(w.decode("utf-8", "ignore")) if x in marks]:
-                kept.append(f" {' '.join(found)} ".encode())
-    prose = [w for text in ordinary for w in windows(text)]
-    return _dictionary(prose[:: max(1, len(prose) // 40_000)], ORDINARY_DICT), _dictionary(kept, TOXIC_DICT)
+def _words_between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(y, words, neighbours)`` of each text: its words, and what stands before and after each."""
+    for b in batches:
+        for t, y in zip(b.column(0), b.column(1)):
+            words = ["", *_WORD.findall(t.as_py().lower()), ""]
+            around = [f"{x} {z}" for x, z in zip(words, words[2:])]
+            yield pa.RecordBatch.from_arrays([pa.array([y.as_py()], pa.int32()), pa.array([words[1:-1]], pa.list_(pa.string())),
+                                              pa.array([around], pa.list_(pa.string()))], names=["y", "w", "ab"])
+
+
+def mark_words(samples: DataFrame) -> set[str]:
+    """Words of ``samples(t, y)`` that toxic texts use among many and at several times the ordinary rate."""
+    seen = (samples.select("t", "y").mapInArrow(_words_between, "y int, w array<string>, ab array<string>")
+            .select("y", F.explode(F.arrays_zip("w", "ab")).alias("p"))
+            .select("y", F.col("p.w").alias("w"), F.xxhash64("p.ab").alias("h")).distinct())
+    counts = stage(seen.groupBy("w").agg(F.count_if(F.col("y") == 1).alias("t"), F.count_if(F.col("y") == 0).alias("o")), "toxicity-words")
+    total = counts.agg(F.sum("t").alias("t"), F.sum("o").alias("o")).first()
+    texts = samples.filter("y = 1").count()
+    least, rate = min(LEAST_NEIGHBOURS, max(2, texts // 10)), LEAST_RATE * max(1, total.t or 0) / max(1, total.o or 0)
+    return {r.w for r in counts.filter((F.col("t") >= least) & (F.col("t") > rate * (F.col("o") + 1))).select("w").collect()}
+
+
+def _some_windows(samples: DataFrame, of: Callable[[str], list[bytes]]) -> list[bytes]:
+    """At most DICT_WINDOWS of the windows that ``of`` makes of each text, those with the smallest hash."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(of(t.as_py()), pa.binary())], names=["w"])
+
+    picked = samples.select("t").mapInArrow(run, "w binary").orderBy(F.xxhash64("w"), "w").limit(DICT_WINDOWS)
+    return picked.toArrow()["w"].to_pylist()
+
+
+def train_dictionaries(samples: DataFrame) -> tuple[bytes, bytes]:
+    """Of ``samples(t, y)``: an ordinary dictionary, and one of what toxic texts have more of."""
+    marks = mark_words(samples)
+
+    def marked(text: str) -> list[bytes]:
+        found = ([x for x in _WORD.findall(w.decode("utf-8", "ignore")) if x in marks] for w in windows(text))
+        return [f" {' '.join(f)} ".encode() for f in found if f]
+
+    return (_dictionary(_some_windows(samples.filter("y = 0"), windows), ORDINARY_DICT),
+            _dictionary(_some_windows(samples.filter("y = 1"), marked), TOXIC_DICT))
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, ...]:
@@ -129,27 +155,37 @@ def fit_weights(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, ...]
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
           sample: int = SAMPLE) -> Model:
-    """Fit on a bounded sample of the labelled rows given."""
-    known = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).filter("k is not null and y in (0, 1)")
+    """Fit on a bounded sample of the labelled rows given.
+
+    Texts stay on the executors: the driver gets word lists, at most DICT_WINDOWS
+    windows for each dictionary, and eight numbers for each fitting text.
+    """
+    known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("k is not null and y in (0, 1)")
     counts = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    # A join partner of at most four samples of ids; twice that because of long texts among them.
+    # Broadcast: at most four samples of ids; twice what is used because of long texts among them.
     picked = [known.filter(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(2 * sample) for y in (0, 1)]
-    ids = picked[0].unionByName(picked[1])
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter(
-        F.octet_length("t").between(1, SAMPLE_BYTES)).join(F.broadcast(ids), "k")
-    rows = (texts.groupBy("k").agg(F.min("t").alias("t"), F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k")
-            .toPandas().drop_duplicates("t"))
-    half = np.arange(len(rows)) % 3 != 0  # two thirds for the dictionaries
-    of = lambda y, part: rows.t[part & (rows.y == y).to_numpy()].tolist()[:sample]
-    if not all(of(y, h) for y in (0, 1) for h in (half, ~half)):
+        F.octet_length("t").between(1, SAMPLE_BYTES)).join(F.broadcast(picked[0].unionByName(picked[1])), "k")
+    once = texts.groupBy("t").agg(F.max("y").alias("y"), F.min("k").alias("k"))
+    # Numbered within a class: at most two samples of rows. Two thirds are for the dictionaries.
+    rows = stage(once.select("t", "y", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("k"), "k", "t")).alias("i")), "toxicity-sample")
+    of = [rows.filter((F.col("i") % 3 == 0) if fitting else (F.col("i") % 3 != 0)).filter(F.col("i") <= 3 * sample // (1 if fitting else 2))
+          .repartition(SAMPLE_TASKS, F.xxhash64("t")) for fitting in (False, True)]
+    if rows.filter("i >= 3").select("y").distinct().count() < 2:
         flat = float(np.log((share + 1e-9) / (1 - share + 1e-9)))
         return Model(b"no model", b"no model", (flat, *[0.0] * 7))
-    toxic, ordinary = of(1, half), of(0, half)
-    base, extra = train_dictionaries(toxic, ordinary)
-    scorer = Scorer(Model(base, extra, (0.0,) * 8))
-    fit = [(scorer.features(t), y) for y in (0, 1) for t in of(y, ~half)]
-    return Model(base, extra, fit_weights(np.array([f for f, _ in fit]), np.array([y for _, y in fit]), share))
+    base, extra = train_dictionaries(of[0])
+    plain = Model(base, extra, (0.0,) * 8)
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(plain)
+        for b in batches:
+            x = [scorer.features(t.as_py()) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
+
+    fit = of[1].select("t", "y").mapInArrow(describe, "y int, x array<double>").orderBy("y", "x").collect()
+    return Model(base, extra, fit_weights(np.array([r.x for r in fit]), np.array([r.y for r in fit]), share))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
