@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,22 @@ from pyspark.sql import functions as F
 from hushgate.sources import store
 
 #: Bytes of text that numpy works on at a time; a longer document is a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+
+
+#: Rows of a batch that Python tasks of a staged step get; whole texts make rows large.
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Plan what runs inside with small Arrow batches: both sides of the pipe hold a few of them for each task."""
+    before = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_CONF, before)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -22,7 +38,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     plan as garbage. A driver with little else to do collects rarely, so long
     operators ask for it, or they would hold the shuffles of all their steps.
     """
-    out = store.stage(df, name)
+    with small_batches(df.sparkSession):
+        out = store.stage(df, name)
     df.sparkSession._jvm.System.gc()
     return out
 
