@@ -266,6 +266,14 @@ VIEWS = {
              ELSE CAST(old AS INT) + count(*) FILTER (NOT starts_with(line, '+')) OVER h - 1 END AS line_no
         FROM diff_marked WHERE pos > hunk WINDOW h AS (PARTITION BY repo, sha, hunk ORDER BY pos)""",
     "added": "SELECT repo, sha, file, line_no, text FROM changed WHERE sign = '+'",
+    "stored": """SELECT repo, sha, user_id, k, message, TIMESTAMP '2024-01-01' + to_days(CAST(k % 28 AS INT)) AS commit_at
+        FROM push_keys""",
+    "live": f"""SELECT e.event_id, e.repo, e.sha, e.ts, {first_line('s.message')} AS message, s.user_id, s.k
+        FROM keyed e JOIN attributed a ON a.event_id = e.event_id AND a.is_owned
+        LEFT JOIN stored s ON s.repo = e.repo AND s.sha = e.sha AND s.k % 10 <> 0 AND {first_line('s.message')} IS NOT NULL
+          AND s.commit_at BETWEEN e.ts - INTERVAL 10 DAY AND e.ts + INTERVAL 5 DAY WHERE NOT e.is_pr""",
+    "live_wanted": f"""SELECT repo, sha, user_id, k, (user_id + k) % 7 <> 0 AS has_diff
+        FROM (SELECT *, {code_of(key_of('message'))} AS code FROM live WHERE message IS NOT NULL) WHERE code > 0 GROUP BY ALL""",
 }
 
 
@@ -582,6 +590,14 @@ BODIES: dict[str, str] = {
     "hourly_window_counts": """SELECT date_trunc('hour', ts) AS hour, kind, count(*) AS events FROM ce
         WHERE date_trunc('hour', ts) + INTERVAL 3 HOUR <= (SELECT max(ts) FROM ce) GROUP BY ALL""",
     "monitor_attribution": "SELECT id, org_handle, is_owned, matched_via, matched_value, label FROM attributed",
+    "monitor_findings": f"""SELECT f.*, secret_fp IN (SELECT secret_fp FROM findings WHERE verified) AS alert
+        FROM (SELECT repo, sha, file, line_no, sign, detector, pos, {red('value')} AS secret_redacted, {fp('value')} AS secret_fp
+        FROM ({hits('(SELECT a.* FROM changed a JOIN live_wanted w ON a.repo = w.repo AND a.sha = w.sha WHERE has_diff AND sign <> chr(32))', 'repo, sha, file, line_no, sign')})) f""",
+    "monitor_waiting": """SELECT 'commit' AS lacks, CAST(event_id AS VARCHAR) AS event_id, repo, sha FROM live WHERE message IS NULL
+        UNION ALL SELECT 'diff', '', repo, sha FROM live_wanted WHERE NOT has_diff""",
+    "late_rows": """SELECT CASE WHEN ts < TIMESTAMP '2024-01-15 00:00:00' THEN 'late'
+          WHEN date_trunc('hour', ts) + INTERVAL 3 HOUR <= (SELECT max(ts) FROM ce) THEN 'closed' ELSE 'open' END AS state,
+          date_trunc('hour', ts) AS hour, kind, count(*) AS events FROM ce GROUP BY ALL""",
     "alert_stream": "SELECT detector, commit, secret_fp, pos FROM findings WHERE verified",
     "late_data": """SELECT date_trunc('hour', ts) AS hour, kind, count(*) AS events FROM ce
         WHERE ts >= TIMESTAMP '2024-01-15 00:00:00'

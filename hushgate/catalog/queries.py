@@ -23,7 +23,7 @@ from hushgate.operators import summary as M
 from hushgate.plans import report as P
 from hushgate.plans import scan as N
 from hushgate.sources import archive, domains, findings as finding_files, store
-from hushgate.streaming import monitor
+from hushgate.streaming import live, monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -719,9 +719,11 @@ def hourly_window_counts(spark, sf):
 
 @query
 def monitor_attribution(spark, sf):
-    owned = A.attribute_events(v.to_raw(_event_stream(spark, sf)), v.orgs(spark, sf),
-                               [f"mail{n}.example" for n in (1, 3, 5)])
-    return monitor.run_once(spark, owned.select(*OWNED), "attribution")
+    """Both lists of owned names as tables, looked up in each micro-batch."""
+    raw = v.to_raw(_event_stream(spark, sf))
+    out, state = store.new_path(spark, "attribution"), store.new_path(spark, "attribution-state")
+    live.start_attribution(raw, v.orgs(spark, sf), v.domains(spark, sf), out, state).awaitTermination()
+    return spark.read.option("recursiveFileLookup", True).parquet(out).select(*OWNED)
 
 
 @query
@@ -750,3 +752,74 @@ def late_data(spark, sf):
         counts = monitor.hourly_window_counts(spark.readStream.schema(events.schema).parquet(folder))
         monitor.start_to_parquet(counts, out, state).awaitTermination()
     return spark.read.schema(counts.schema).parquet(out)
+
+
+def _files(df: DataFrame, name: str, order: str, parts: int = 4) -> str:
+    """A folder of files, as a stream would find them."""
+    path = store.new_path(df.sparkSession, name)
+    df.repartitionByRange(parts, order).write.parquet(path)
+    return path
+
+
+def _stored_streams(spark, sf) -> tuple[DataFrame, ...]:
+    """Raw events, commits and diffs as streams of files, and last rows a year on, which close all waiting."""
+    raw = v.raw_events(spark, sf)
+    keys = v.push_keys(spark, sf)
+    stored = lambda days: F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(days=(days % 28).cast("int"))
+    commits = keys.filter(F.col("k") % 10 != 0).select("repo", "sha", "message", stored(F.col("k")).alias("stored_at"))
+    some = keys.filter((F.col("user_id") + F.col("k")) % 7 != 0).select("repo", "sha", stored(F.col("user_id")).alias("stored_at"))
+    diffs = v.diffs(spark, sf).join(some, ["repo", "sha"]).select("repo", "sha", "diff", "stored_at")
+    tables = [(raw, "events", "created_at"), (commits, "commits", "stored_at"), (diffs, "diffs", "stored_at")]
+    paths = [_files(df, name, order) for df, name, order in tables]
+    end = "2025-01-01T00:00:00Z"
+    last = spark.createDataFrame([("0", "PushEvent", end, ("org0/end",), ("end", None, None, None, None))], raw.schema)
+    row = {"repo": F.lit("org0/end"), "sha": F.lit("end"), "message": F.lit(v.MESSAGES[0]), "diff": F.lit(""), "stored_at": F.lit(end).cast("timestamp")}
+    ends = [last, *[spark.range(1).select(*[row[c].alias(c) for c in df.columns]) for df in (commits, diffs)]]
+    return tuple((p, df.schema, e) for p, (df, *_), e in zip(paths, tables, ends))
+
+
+def _live(spark, sf) -> str:
+    """The whole monitor, run over the data and again, from its checkpoint, over the last rows."""
+    streams, out, state = _stored_streams(spark, sf), store.new_path(spark, "live"), store.new_path(spark, "live-state")
+    known = v.findings(spark, sf).filter("verified").select("secret_fp", "verified")
+    for run in range(2):
+        if run:
+            for path, _, end in streams:
+                end.write.mode("append").parquet(path)
+        raw, commits, diffs = (spark.readStream.schema(schema).parquet(path) for path, schema, _ in streams)
+        live.run_live(raw, commits, diffs, v.SALT, out, state, owned=(v.orgs(spark, sf), v.domains(spark, sf)), verified=known,
+                      delay="60 days", commit_span=("10 days", "5 days"), diff_span=("60 days", "60 days"))
+    return out
+
+
+@query
+def monitor_findings(spark, sf):
+    """Owned events, commits and diffs as streams; findings of suspicious commits, with what raises an alert."""
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{_live(spark, sf)}/findings")
+    return found.select("repo", "sha", "file", "line_no", "sign", "detector", "pos", "secret_redacted", "secret_fp",
+                        F.coalesce("verified", F.lit(False)).alias("alert"))
+
+
+@query
+def monitor_waiting(spark, sf):
+    """Pushes whose commit never came, and suspicious commits whose diff never came."""
+    out = _live(spark, sf)
+    flagged = spark.read.schema(live.FLAGGED).parquet(f"{out}/flagged").filter(F.col("state") == live.UNRESOLVED)
+    without = live.read_batches(spark, f"{out}/without_diff", "repo string, sha string, ts timestamp")
+    return (flagged.select(F.lit("commit").alias("lacks"), F.col("event_id").cast("string").alias("event_id"), "repo", "sha")
+            .unionByName(without.select(F.lit("diff").alias("lacks"), F.lit("").alias("event_id"), "repo", "sha")))
+
+
+@query
+def late_rows(spark, sf):
+    """Hours counted in two runs, the second half of the month first: what is closed, open or late is all there is."""
+    events = v.commit_events(spark, sf).select("event_id", "ts", "kind")
+    folder, out, state = (store.new_path(spark, n) for n in ("hours-in", "hours", "hours-state"))
+    cut = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    for part in (events.filter(F.col("ts") >= cut), events.filter(F.col("ts") < cut)):
+        part.write.mode("append").parquet(folder)
+        live.count_hours(spark.readStream.schema(events.schema).parquet(folder), out, state).awaitTermination()
+    told = [live.read_batches(spark, f"{out}/{name}", "hour timestamp_ntz, kind string, events long") for name in ("closed", "late")]
+    told.append(live.open_hours(spark, out))
+    return told[0].select(F.lit("closed").alias("state"), "*").unionByName(told[1].select(F.lit("late").alias("state"), "*")) \
+                  .unionByName(told[2].select(F.lit("open").alias("state"), "*"))
