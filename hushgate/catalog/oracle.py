@@ -418,6 +418,8 @@ BODIES: dict[str, str] = {
         CASE WHEN kind = 'PullRequestEvent' THEN event_id END AS pr_number,
         CASE WHEN kind <> 'PushEvent' THEN -1 WHEN k % 11 = 0 THEN 0 ELSE 2 END AS n_commits
         FROM ce WHERE event_id % 50 <> 7""",
+    "archive_errors": """SELECT kind AS what, '' AS error, count(*) AS events FROM ce WHERE event_id % 50 <> 7 GROUP BY 1
+        UNION ALL VALUES ('2024-02-01-0.json.gz 00', 'truncated', 0), ('2024-02-01-1.json.gz 01', 'not gzip', 0)""",
     "corrupt_lines": f"SELECT {BROKEN} AS line FROM ce WHERE event_id % 50 = 7",
     "hour_range": """SELECT unnest(range(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)), INTERVAL 1 HOUR)) AS hour
         FROM events""",
@@ -554,6 +556,7 @@ BODIES: dict[str, str] = {
     # aggregates
     "run_summary": "SELECT * FROM summary",
     "detector_counts": "SELECT detector, count(*) AS findings FROM findings GROUP BY detector",
+    "first_seen_odd_ids": "SELECT repo || '@' || sha AS commit, count(*) AS events, count(*) - 1 AS hits, min(ts) AS first_ts FROM keyed GROUP BY 1",
     "finding_distincts": """SELECT count(*) AS total_findings, count(*) FILTER (verified) AS verified_count,
         count(DISTINCT nullif(file, '')) AS unique_files, count(DISTINCT nullif(email, '')) AS unique_emails,
         count(DISTINCT nullif(repository, '')) AS unique_repos FROM findings""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Callable
 
 import pandas as pd
@@ -72,6 +73,26 @@ def read_archive_events(spark, sf):
         F.coalesce(F.size("payload.commits"), F.lit(-1)).alias("n_commits"))
 
 
+#: Broken archives beside the good ones: their names and what they hold.
+BROKEN_ARCHIVES = {
+    "2024-02-01-0.json.gz": gzip.compress(b'{"id": "1", "type": "PushEvent"}\n' * 5000, mtime=0)[:90],
+    "2024-02-01-1.json.gz": b"no archive at all",
+}
+
+
+@query
+def archive_errors(spark, sf):
+    """Events of the archives that can be read, and a row for each that cannot."""
+    path = _archive_folder(spark, sf)
+    for name, data in BROKEN_ARCHIVES.items():
+        store.write_bytes(spark, f"{path}/{name}", data)
+    lines, files = archive.read_archive_safely(spark, path)
+    events = lines.filter(F.col(archive.CORRUPT).isNull()).groupBy("type").agg(F.count("*").alias("events"))
+    return (events.select(F.col("type").alias("what"), F.lit("").alias("error"), "events")
+            .unionByName(archive.archive_errors(files).select(F.concat("file", F.lit(" "), F.date_format("archive_hour", "HH")).alias("what"),
+                                                              "error", F.lit(0).cast("long").alias("events"))))
+
+
 @query
 def corrupt_lines(spark, sf):
     return archive.corrupt_lines(spark, _archive_folder(spark, sf)).select("line")
@@ -823,3 +844,15 @@ def late_rows(spark, sf):
     told.append(live.open_hours(spark, out))
     return told[0].select(F.lit("closed").alias("state"), "*").unionByName(told[1].select(F.lit("late").alias("state"), "*")) \
                   .unionByName(told[2].select(F.lit("open").alias("state"), "*"))
+
+
+@query
+def first_seen_odd_ids(spark, sf):
+    """Ids such as ``007``, ``ab-1`` and none: still one first row for each commit, the earliest."""
+    eid = F.col("id").cast("bigint")
+    odd = (F.when(eid % 11 == 0, F.lit(None)).when(eid % 3 == 0, F.concat(F.lit("00"), "id"))
+            .when(eid % 3 == 1, F.concat(F.lit("ab-"), "id")).otherwise(F.col("id")))
+    keyed = N.commit_events(v.raw_events(spark, sf).withColumn("id", odd))
+    seen = E.first_seen(keyed.withColumn("commit", F.concat("repo", F.lit("@"), "sha")), "commit")
+    return seen.groupBy("commit").agg(F.count("*").alias("events"), F.count_if("cache_hit").alias("hits"),
+                                      F.min(F.when(~F.col("cache_hit"), F.col("ts"))).alias("first_ts"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushgate.functions.text import email_domain, or_empty
+from hushgate.operators.events import event_number
 
 Owned = DataFrame | Collection[str]
 
@@ -60,27 +61,29 @@ def attribute_by_email(raw: DataFrame, domains: Owned) -> DataFrame:
 
     Events without one are absent.
     """
-    hits = _mail_hits(raw, domains)
-    return hits.select(F.col("id").try_cast("bigint").alias("event_id"), "matched_via", "matched_value")
+    if not isinstance(domains, DataFrame):
+        hits = raw.select("id", first_listed(F.col("payload.commits"), domains).alias("_hit")).filter(F.col("_hit").isNotNull())
+    else:
+        hits = raw.select("id", "payload.commits").join(_mail_hits(raw, domains), "id").select("id", _at(F.col("commits")).alias("_hit")).distinct()
+    return hits.select(event_number(F.col("id")).alias("event_id"), F.col("_hit.via").alias("matched_via"),
+                       F.col("_hit.domain").alias("matched_value"))
 
 
-def _mail_hits(raw: DataFrame, domains: Owned) -> DataFrame:
-    """The same by ``id`` as written: ids need not be numbers."""
-    commits = F.col("payload.commits")
-    if not isinstance(domains, DataFrame):
-        return (raw.select("id", first_listed(commits, domains).alias("_hit"))
-                .filter(F.col("_hit").isNotNull())
-                .select("id", F.col("_hit.via").alias("matched_via"),
-                        F.col("_hit.domain").alias("matched_value")))
-    named = (raw.filter("id is not null").select("id", F.posexplode(commit_domains(commits)).alias("pos", "c"))
-             .select("id", "pos", "c.via", "c.domain")
+def _at(commits: Column) -> Column:
+    """What stands at the place that :func:`_mail_hits` found."""
+    return F.try_element_at(commit_domains(commits), F.col("_pos") + 1)
+
+
+def _mail_hits(raw: DataFrame, domains: DataFrame) -> DataFrame:
+    """Where in an event its first owned mail domain stands, by ``id`` as written: ids need not be numbers.
+
+    Only the place is aggregated, a number, so hash tables do it on both sides of the shuffle.
+    """
+    named = (raw.filter("id is not null").select("id", F.posexplode(commit_domains(F.col("payload.commits"))).alias("_pos", "c"))
+             .select("id", "_pos", "c.domain")
              .filter(F.col("domain") != ""))
     known = _normal(domains, "domain", "domain").filter(F.col("domain") != "")
-    return (named.join(known, "domain")
-            .groupBy("id")
-            .agg(F.min(F.struct("pos", "via", "domain")).alias("_hit"))
-            .select("id", F.col("_hit.via").alias("matched_via"),
-                    F.col("_hit.domain").alias("matched_value")))
+    return named.join(known, "domain").groupBy("id").agg(F.min("_pos").alias("_pos"))
 
 
 def attribute_events(raw: DataFrame, orgs: Owned, domains: Owned) -> DataFrame:
@@ -98,9 +101,10 @@ def attribute_events(raw: DataFrame, orgs: Owned, domains: Owned) -> DataFrame:
                    .drop("_hit"))
     else:
         # Mail domains decide only where the organisation did not.
-        hits = _mail_hits(by_org.filter(open_event), domains).select(
-            "id", F.col("matched_via").alias("_via"), F.col("matched_value").alias("_value"))
-        by_mail = by_org.join(hits, "id", "left")
+        hit = F.when(F.col("_pos").isNotNull(), _at(F.col("payload.commits")))
+        by_mail = (by_org.join(_mail_hits(by_org.filter(open_event), domains), "id", "left")
+                   .withColumn("_hit", hit).withColumn("_via", F.col("_hit.via")).withColumn("_value", F.col("_hit.domain"))
+                   .drop("_hit", "_pos"))
     via = F.when(F.col("org_owned"), F.lit("org_handle")).otherwise(F.col("_via"))
     value = F.when(F.col("org_owned"), F.col("org_handle")).otherwise(F.col("_value"))
     label = (F.when(F.col("org_handle").isNull(), F.lit("unknown"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +17,14 @@ TIME_LAYOUTS = [f"yyyy-MM-dd{t}HH:mm:ss{f}{z}" for f in ("", "[.SSSSSSSSS][.SSSS
 
 def utc_time(created_at: Column) -> Column:
     """UTC wall clock of an ISO time with zone, whatever the session time zone is; null if no layout fits."""
+    # What archives hold nearly always; the layouts are tried for the rest only.
+    plain = (F.length(created_at) == 20) & F.endswith(created_at, F.lit("Z")) & (F.substring(created_at, 11, 1) == "T")
     utc = F.regexp_replace(created_at, "UTC$", "+0000")
     layouts = [x.replace("'UTC'", "XX") for x in TIME_LAYOUTS]
     instant = F.coalesce(*[F.try_to_timestamp(utc, F.lit(x)) for x in dict.fromkeys(layouts)])
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return epoch + F.make_dt_interval(secs=(F.unix_micros(instant).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))
+    other = epoch + F.make_dt_interval(secs=(F.unix_micros(instant).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))
+    return F.when(plain, F.left(created_at, F.lit(19)).try_cast("timestamp_ntz")).otherwise(other)
 
 
 def unread_times(raw: DataFrame) -> DataFrame:
@@ -28,9 +33,20 @@ def unread_times(raw: DataFrame) -> DataFrame:
             .groupBy("created_at").agg(F.count("*").alias("events")))
 
 
+def event_number(id_text: Column, *otherwise: Column) -> Column:
+    """A number that stands for an id: the id itself if it is written as a number, else a negative hash.
+
+    ``007`` is not ``7``. An id that is missing is told by the hash of the columns given instead.
+    """
+    number = id_text.try_cast("bigint")
+    hashed = -F.lit(1).cast("bigint") - F.shiftrightunsigned(F.xxhash64(id_text, *[F.when(id_text.isNull(), c) for c in otherwise]), 1)
+    return F.when((number.cast("string") == id_text) & (number >= 0), number).otherwise(hashed)
+
+
 def _common() -> list:
+    payload = [F.col(f"payload.{c}") for c in ("head", "ref", "action", "pull_request.number")]
     return [
-        F.col("id").try_cast("bigint").alias("event_id"),
+        event_number(F.col("id"), F.col("type"), F.col("repo.name"), F.col("created_at"), *payload).alias("event_id"),
         or_empty(F.col("repo.name")).alias("repo"),
         utc_time(F.col("created_at")).alias("ts"),
     ]
@@ -59,6 +75,19 @@ def union_events(pushes: DataFrame, prs: DataFrame) -> DataFrame:
     return pushes.unionByName(prs, allowMissingColumns=True)
 
 
+def keyed_events(raw: DataFrame) -> DataFrame:
+    """What :func:`commit_key` gives for pushes and pull requests together, in one reading of the events."""
+    pr, is_pr = "payload.pull_request", F.col("type") == "PullRequestEvent"
+    wanted = (F.col("type") == "PushEvent") | (is_pr & F.col("payload.action").isin("opened", "reopened"))
+    of = lambda for_pr, for_push: F.when(is_pr, for_pr).otherwise(for_push)
+    return commit_key(raw.filter(wanted).select(
+        *_common(), of(F.lit("pr"), F.lit("push")).alias("event_type"),
+        of(F.lit(""), or_empty(F.col("payload.head"))).alias("head"), of(F.lit(""), or_empty(F.col("payload.ref"))).alias("ref"),
+        of(or_empty(F.col(f"{pr}.title")), F.lit("")).alias("title"),
+        of(F.coalesce(F.col(f"{pr}.number"), F.lit(0)), F.lit(0)).alias("pr_number"),
+        of(or_empty(F.col(f"{pr}.html_url")), F.lit("")).alias("pr_url")))
+
+
 def commit_key(events: DataFrame) -> DataFrame:
     """Events that can be looked up, with the ``(repo, sha)`` they stand for.
 
@@ -121,16 +150,30 @@ def distinct_commits(commits: DataFrame) -> DataFrame:
             .select("repo", "sha", *[F.col(f"_first.{c}").alias(c) for c in rest]))
 
 
+def order_number(ts: Column, event_id: Column) -> Column:
+    """Time, then id, as one number of fixed width, so that its minimum is a hash aggregate; nulls come last."""
+    day = F.datediff(ts, F.lit("1970-01-01")).cast("decimal(20,0)")
+    second = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.extract(F.lit("SECOND"), ts)
+    micros = day * F.lit(86_400_000_000).cast("decimal(12,0)") + (second * 1_000_000).cast("decimal(12,0)")
+    # 20 digits for the id, which may be negative, below 18 for the time.
+    place = (F.coalesce(micros, F.lit(10 ** 17).cast("decimal(18,0)")).cast("decimal(18,0)") * F.lit(Decimal(10 ** 19)).cast("decimal(20,0)"))
+    code = F.coalesce(event_id.cast("decimal(20,0)"), F.lit(Decimal(2 ** 63 - 1)).cast("decimal(20,0)"))
+    return (place + code).cast("decimal(38,0)")
+
+
 def first_seen(df: DataFrame, key: str) -> DataFrame:
-    """Marks rows whose key occurred before (``cache_hit``), by time then id.
+    """Marks rows whose key occurred before (``cache_hit``), by time then id, which together tell rows apart.
 
-    Only the id of the first row per key is kept, and ids are unique, so no
-    task ever holds all rows of a frequent key.
+    One number of fixed width is kept per key, so a frequent key combines before
+    the shuffle; its rows then meet that number in a join that adaptive execution
+    splits. Rows without a key are never hits.
     """
-    firsts = (df.groupBy(key).agg(F.min(F.struct("ts", "event_id")).alias("_first"))
-              .select(F.col("_first.event_id").alias("event_id"), F.lit(False).alias("_hit")))
-    return (df.join(firsts, "event_id", "left")
-            .withColumn("cache_hit", F.coalesce("_hit", F.lit(True))).drop("_hit"))
+    order = order_number(F.col("ts"), F.col("event_id"))
+    firsts = (df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key"))
+              .agg(F.min(order).alias("_first")))
+    return (df.withColumn("_order", order).join(firsts, F.col(key) == F.col("_key"), "left")
+            .withColumn("cache_hit", F.coalesce(F.col("_order") > F.col("_first"), F.lit(False)))
+            .drop("_key", "_first", "_order"))
 
 
 def hourly_counts(raw_or_events: DataFrame, kind: str = "kind", ts: str = "ts") -> DataFrame:

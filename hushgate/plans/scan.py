@@ -24,7 +24,7 @@ def commit_events(raw: DataFrame, owned: tuple[Owned, Owned] | None = None) -> D
     """Commit rows of raw events, narrowed to owned ones first when asked to."""
     if owned:
         raw = owned_only(attribute_events(raw, *owned))
-    return E.commit_key(E.union_events(E.push_events(raw), E.pr_events(raw)))
+    return E.keyed_events(raw)
 
 
 def classify_events(raw: DataFrame, commits: DataFrame, *,

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushgate import schemas
 from hushgate.functions.text import hour_of
+from hushgate.sources.store import stage
 
 HOUR_IN_PATH = r"(\d{4}-\d{2}-\d{2}-\d{1,2})(?!\d)"
 CORRUPT = schemas.CORRUPT_COLUMN
@@ -32,12 +37,13 @@ def read_archive(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     Gzip files do not split, so an hour file is one task; write_by_hour compacts
     them once for repeated use.
     """
+    return _parsed(spark.read.text(paths).withColumn("archive_hour", hour_from_path(F.input_file_name())))
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
     event = F.from_json("value", schemas.RAW_EVENT_WITH_CORRUPT,
                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    return (spark.read.text(paths)
-            .filter(F.trim("value") != "")
-            .select(event.alias("e"), hour_from_path(F.input_file_name()).alias("archive_hour"))
-            .select("e.*", "archive_hour"))
+    return lines.filter(F.trim("value") != "").select(event.alias("e"), "archive_hour").select("e.*", "archive_hour")
 
 
 def read_archive_events(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -52,6 +58,73 @@ def corrupt_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
             .filter(F.col("line").isNotNull()))
 
 
+#: Files of this size or more cannot be checked in one piece and are taken as they are.
+MOST_CHECKED = (1 << 31) - 4096
+_PIECE = 1 << 20
+
+
+def gzip_fault(data: memoryview) -> str | None:
+    """Why a gzip file cannot be read to its end, None if it can; never more than a piece is unpacked at a time."""
+    at, members = 0, 0
+    try:
+        while at < len(data):
+            unpack = zlib.decompressobj(wbits=31)
+            while not unpack.eof:
+                left = unpack.unconsumed_tail
+                if not left:
+                    if at >= len(data):
+                        return "truncated"
+                    left, at = data[at: at + _PIECE], at + _PIECE
+                unpack.decompress(left, _PIECE)
+            at = min(at, len(data)) - len(unpack.unused_data) - len(unpack.unconsumed_tail)
+            members += 1
+    except zlib.error:
+        return "damaged" if members or bytes(data[:2]) == b"\x1f\x8b" else "not gzip"
+    return None if members else "empty"
+
+
+def archive_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Every listed file: ``(path, archive_hour, bytes, error)``, without an error if it can be read to its end.
+
+    Each gzip file is unpacked once in the task that reads it, so a damaged one
+    is a row instead of the end of the run. Other files have nothing to check;
+    Spark leaves files without any byte out of every listing.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    checked = F.col("path").endswith(".gz") & (F.col("length") < MOST_CHECKED)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, length, content in zip(*b.columns):
+                fault = gzip_fault(memoryview(content.as_buffer()))
+                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([length.as_py()], pa.int64()), pa.array([fault], pa.string())],
+                                                 names=["path", "bytes", "error"])
+
+    faults = listed.filter(checked).select("path", "length", "content").mapInArrow(check, "path string, bytes long, error string")
+    others = listed.filter(~checked).select("path", F.col("length").alias("bytes"), F.lit(None).cast("string").alias("error"))
+    return faults.unionByName(others).select("path", hour_from_path(F.col("path")).alias("archive_hour"), "bytes", "error")
+
+
+def read_archive_safely(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """All lines of the files that can be read to their end, as :func:`read_archive` gives them, and the checked files.
+
+    Every listed file is in the second table once: with an error, or with its
+    lines in the first. A file that is damaged gives no line at all, so it can
+    be read as a whole once it is mended.
+    """
+    files = stage(archive_files(spark, paths), "archive-files")
+    # Names only, as many as Spark lists on the driver for any reader.
+    good = [r.path for r in files.filter("error is null").select("path").toLocalIterator()]
+    empty = spark.createDataFrame([], "value string")
+    return (read_archive(spark, good) if good else _parsed(empty.withColumn("archive_hour", F.lit(None).cast("timestamp_ntz")))), files
+
+
+def archive_errors(files: DataFrame) -> DataFrame:
+    """The files of :func:`archive_files` that cannot be read, by name and hour."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.filter("error is not null").select(name.alias("file"), "archive_hour", "error")
+
+
 def hour_range(bounds: DataFrame, start: Column | None, end: Column,
                hours_back: int = 1) -> DataFrame:
     """One row per hour in ``[start, end)`` for each row of ``bounds``.

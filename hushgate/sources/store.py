@@ -56,6 +56,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file, replaced if it is there, by whatever file system the path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def write_by_hour(df: DataFrame, path: str, ts: str = "ts", files_per_hour: int = 8) -> None:
     """Compact events to Parquet partitioned by hour, so hour ranges prune files.
 

@@ -137,3 +137,28 @@ def test_times_in_several_layouts_and_ids_that_are_no_numbers(spark):
     assert [(r.created_at, r.events) for r in unread_times(raw).collect()] == [("yesterday", 1)]
     ids = spark.range(200_000).selectExpr("id AS event_id", "'a/b' AS repo", "cast(id AS string) AS sha")
     assert 2 <= sample_by_hash(ids, 0.00005).count() <= 30 and 2 <= sample_commits(ids, 0.00005).count() <= 30
+
+
+def test_ids_of_any_kind_tell_rows_apart(spark):
+    raw = spark.createDataFrame(
+        [(i, "PushEvent", "2024-01-01T00:00:0%dZ" % s, ("o/r",), (h, None, None, None, None)) for i, s, h in
+         [("7", 1, "a"), ("007", 1, "a"), ("ab-1", 1, "a"), (None, 1, "a"), (None, 2, "a"), ("ab-2", 0, "b"), (None, 1, "b"), ("-4", 5, "c"),
+          ("99999999999999999999", 5, "c")]], RAW_EVENT)
+    keyed = E.keyed_events(raw)
+    rows = E.first_seen(keyed, "sha").collect()
+    assert len({r.event_id for r in rows}) == 9 and {r.event_id for r in rows if r.event_id >= 0} == {7}
+    assert sorted(r.sha for r in rows if not r.cache_hit) == ["a", "b", "c"]
+    assert next(r.ts.second for r in rows if r.sha == "b" and not r.cache_hit) == 0
+    many = spark.range(4000).select(F.concat(F.lit("ab-"), F.col("id").cast("string")).alias("id"))
+    kept = E.sample_by_hash(many.select(E.event_number(F.col("id")).alias("event_id")), 0.25).count()
+    assert 850 < kept < 1150
+
+
+def test_firsts_are_hash_aggregates(spark):
+    raw = spark.createDataFrame([("1", "PushEvent", "2024-01-01T00:00:00Z", ("o/r",), ("a", None, None, None, [(("x@b.example",), (None,))]))], RAW_EVENT)
+    domains = spark.createDataFrame([("b.example",)], "domain string")
+    for df in (E.first_seen(E.keyed_events(raw), "sha"), A.attribute_by_email(raw, domains),
+               A.attribute_events(raw, spark.createDataFrame([("z",)], "handle string"), domains)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
+    assert A.attribute_by_email(raw, domains).first().matched_value == "b.example"

@@ -127,3 +127,37 @@ def test_second_write_keeps_other_hours_and_staging_cleans_up(spark, tmp_path):
         assert stage(rows("05", 7), "x").count() == 7 and folder.startswith(str(tmp_path))
         assert any((tmp_path / "staged").iterdir())
     assert not any((tmp_path / "staged").iterdir())
+
+
+def test_gzip_faults_of_every_cut():
+    """A file is readable only as a whole, also of several members; no cut of it is taken for whole."""
+    import gzip
+    import os
+
+    one, two = gzip.compress(b"line\n" * 3000 + os.urandom(3_000_000)), gzip.compress(b"more\n")
+    assert archive.gzip_fault(memoryview(one)) is None and archive.gzip_fault(memoryview(one + two)) is None
+    for cut in (1, 5, 17, 2000, len(one) - 9, len(one) - 1, len(one) + 1, len(one) + len(two) - 1):
+        assert archive.gzip_fault(memoryview((one + two)[:cut])) in ("truncated", "damaged")
+    wrong = bytearray(one)
+    wrong[len(one) // 2] ^= 255
+    assert archive.gzip_fault(memoryview(bytes(wrong))) == "damaged"
+    assert archive.gzip_fault(memoryview(one + b"rest")) == "damaged"
+    assert archive.gzip_fault(memoryview(b"")) == "empty" and archive.gzip_fault(memoryview(b"{}\n")) == "not gzip"
+
+
+def test_one_damaged_hour_does_not_end_the_run(spark, tmp_path):
+    import gzip
+
+    line = b'{"id": "%d", "type": "PushEvent", "repo": {"name": "o/r"}}\n'
+    for hour in range(3):
+        data = gzip.compress(b"".join(line % i for i in range(hour * 2000, hour * 2000 + 2000)))
+        (tmp_path / f"2024-01-01-{hour}.json.gz").write_bytes(data[: len(data) // 2] if hour == 1 else data)
+    (tmp_path / "2024-01-01-3.json").write_bytes(line % 9000 + b'{"type": "Pu\n')
+    rows, files = archive.read_archive_safely(spark, str(tmp_path))
+    assert files.count() == 4
+    assert [(r.file, r.archive_hour.hour, r.error) for r in archive.archive_errors(files).collect()] == [("2024-01-01-1.json.gz", 1, "truncated")]
+    good = rows.filter(f"{archive.CORRUPT} is null").groupBy("archive_hour").count().collect()
+    assert sorted((r.archive_hour.hour, r["count"]) for r in good) == [(0, 2000), (2, 2000), (3, 1)]
+    assert rows.filter(f"{archive.CORRUPT} is not null").count() == 1
+    rows, files = archive.read_archive_safely(spark, str(tmp_path / "2024-01-01-1.json.gz"))
+    assert rows.count() == 0 and files.count() == 1
