@@ -541,6 +541,9 @@ BODIES: dict[str, str] = {
         FROM (SELECT unnest({sql_list(DETECTOR_CATALOG + GENERIC_DETECTORS)}) AS detector) c
         LEFT JOIN findings f ON c.detector = f.detector GROUP BY c.detector""",
     "clean_documents": "SELECT doc_id, lang, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM doc_hits)",
+    "scan_hours": """SELECT * FROM ({scan}) WHERE (repo, sha) IN (SELECT (s.repo, s.sha) FROM suspicious s
+        WHERE s.ts >= TIMESTAMP '2024-01-10' AND s.ts < TIMESTAMP '2024-01-12') AND (repo, sha) IN (SELECT (repo, sha) FROM keyed
+        WHERE NOT is_pr GROUP BY repo, sha HAVING date_trunc('hour', min(ts)) >= TIMESTAMP '2024-01-08' AND min(ts) < TIMESTAMP '2024-01-12')""",
     "scan": "{scan}",
     "scan_owned": """SELECT * FROM ({scan}) WHERE (repo, sha) IN (SELECT (s.repo, s.sha) FROM suspicious s
         JOIN attributed a ON a.event_id = s.event_id WHERE a.is_owned)""",
@@ -557,6 +560,13 @@ BODIES: dict[str, str] = {
     "run_summary": "SELECT * FROM summary",
     "detector_counts": "SELECT detector, count(*) AS findings FROM findings GROUP BY detector",
     "first_seen_odd_ids": "SELECT repo || '@' || sha AS commit, count(*) AS events, count(*) - 1 AS hits, min(ts) AS first_ts FROM keyed GROUP BY 1",
+    "review_batches_full": f"""SELECT CAST(n // 10 AS VARCHAR) AS batch_id, count(*) AS messages,
+        replace({q(rules.REVIEW_BATCH_PROMPT)}, '{{messages}}',
+          string_agg('[' || (n % 10) || '] ' || {redacted('message_key')}, {NL} || '---' || {NL} ORDER BY n)) AS prompt
+        FROM (SELECT message_key, row_number() OVER (ORDER BY CAST('0x' || left(md5(message_key), 8) AS BIGINT)
+          % CAST(ceil((SELECT count(*) FROM open_keys) / 100.0) AS BIGINT), message_key) - 1 AS n FROM open_keys) GROUP BY n // 10""",
+    "finding_distincts_merged": """SELECT count(*) AS total_findings, count(*) FILTER (verified) AS verified_count,
+        true AS unique_files, true AS unique_emails, true AS unique_repos FROM findings""",
     "finding_distincts": """SELECT count(*) AS total_findings, count(*) FILTER (verified) AS verified_count,
         count(DISTINCT nullif(file, '')) AS unique_files, count(DISTINCT nullif(email, '')) AS unique_emails,
         count(DISTINCT nullif(repository, '')) AS unique_repos FROM findings""",

@@ -181,7 +181,7 @@ def _domain_texts(spark, sf):
 def write_domain_list(spark, sf):
     path = store.new_path(spark, "domains")
     domains.write_domain_list(domains.extract_domains(_domain_texts(spark, sf)), path, "pages")
-    return spark.read.schema("source string, count bigint").json(f"{path}/summary")
+    return domains.read_domain_summary(spark, path)
 
 
 @query
@@ -856,3 +856,32 @@ def first_seen_odd_ids(spark, sf):
     seen = E.first_seen(keyed.withColumn("commit", F.concat("repo", F.lit("@"), "sha")), "commit")
     return seen.groupBy("commit").agg(F.count("*").alias("events"), F.count_if("cache_hit").alias("hits"),
                                       F.min(F.when(~F.col("cache_hit"), F.col("ts"))).alias("first_ts"))
+
+
+@query
+def review_batches_full(spark, sf):
+    """Batches that are full but for the last, numbered over buckets that follow the number of messages."""
+    numbered = W.number_in_full_batches(_open_keys(spark, sf), size=10, per_bucket=100)
+    return W.build_review_batches(numbered).select("batch_id", "messages", "prompt")
+
+
+@query
+def finding_distincts_merged(spark, sf):
+    """Sketches stored part by part and merged: whether each estimate lies within a twentieth of the exact number."""
+    found, path = store.stage(v.findings(spark, sf), "findings"), store.new_path(spark, "sketches")
+    parts = found.withColumn("part", F.substring("timestamp", 2, 1))
+    for half in ("part < '8'", "part >= '8'"):
+        M.distinct_sketches(parts.filter(half), "part").write.mode("append").parquet(path)
+    about, exact = M.merge_sketches(spark.read.parquet(path)).first(), M.finding_distincts(found).first()
+    near = {c: abs(about[c] - exact[c]) <= 0.05 * exact[c] for c in M.SKETCHED}
+    return spark.createDataFrame([(about.total_findings, about.verified_count, *near.values())],
+                                 "total_findings long, verified_count long, " + ", ".join(f"{c} boolean" for c in near))
+
+
+@query
+def scan_hours(spark, sf):
+    """Findings of two days, from diffs stored by the hour of the first push that named them."""
+    path, pushed = store.new_path(spark, "diffs-by-hour"), N.commit_events(v.raw_events(spark, sf)).filter(~F.col("is_pr"))
+    stored = v.diffs(spark, sf).join(pushed.groupBy("repo", "sha").agg(F.min("ts").alias("ts")), ["repo", "sha"])
+    store.write_by_hour(stored, path, files_per_hour=1)
+    return N.scan_hours(v.raw_events(spark, sf), v.commits(spark, sf), path, v.SALT, "2024-01-10-00", "2024-01-12-00", look_back=48).findings

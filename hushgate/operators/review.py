@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hushgate.functions import verdict as V
 from hushgate.functions.secrets import redact_text
 from hushgate.rules import REVIEW_BATCH_PROMPT, REVIEW_PROMPT
+from hushgate.sources.store import stage
 
 FENCES = r"^\s*```(?:json)?\s*|\s*```\s*$"
 
@@ -35,6 +36,24 @@ def number_for_review(keys: DataFrame, key: str = "message_key", size: int = 50,
                     (F.col("_pos") % size).cast("int").alias("idx"), key))
 
 
+def number_in_full_batches(keys: DataFrame, key: str = "message_key", size: int = 50, per_bucket: int = 1 << 16) -> DataFrame:
+    """The same with every batch full but for the last, and as many buckets as the messages fill.
+
+    Two passes: messages are numbered within hash buckets of about ``per_bucket``
+    rows, then each bucket starts where the counts of those before it end. Only
+    one count for each bucket is ever put in one order.
+    """
+    rows = stage(keys.select(key).distinct(), "review-keys")
+    buckets = max(1, -(-rows.count() // per_bucket))
+    hashed = rows.withColumn("_bucket", F.pmod(F.conv(F.left(F.md5(F.col(key)), F.lit(8)), 16, 10).cast("bigint"), F.lit(buckets)))
+    counts = hashed.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    number = F.col("_start") + F.row_number().over(Window.partitionBy("_bucket").orderBy(key)) - 1
+    return (hashed.join(starts, "_bucket").withColumn("_number", number)
+            .select(F.floor(F.col("_number") / size).cast("string").alias("batch_id"), (F.col("_number") % size).cast("int").alias("idx"), key))
+
+
 def build_review_batches(numbered: DataFrame, key: str = "message_key",
                          template: str = REVIEW_BATCH_PROMPT) -> DataFrame:
     """One prompt per batch; a batch holds a bounded number of messages."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,8 @@ from hushgate.operators.attribute import Owned, attribute_events, owned_only
 from hushgate.operators.classify import classify_batch, suspicious_only
 from hushgate.operators.detect import detect_in_diffs
 from hushgate.operators.resolve import attach_diffs, resolve_messages
+from hushgate.sources.archive import in_hours
+from hushgate.sources.store import read_by_hour
 
 
 class Scan(NamedTuple):
@@ -49,6 +52,23 @@ def scan_diffs(diffs: DataFrame, salt: str, min_entropy: float | None = None) ->
     return detect_in_diffs(holding, salt, min_entropy)
 
 
+def scan_hours(raw: DataFrame, commits: DataFrame, diffs_path: str, salt: str, start: str, end: str, *,
+               look_back: int = 24, owned: tuple[Owned, Owned] | None = None, scorer: str | None = None) -> Scan:
+    """A scan of the hours ``[start, end)``, written ``yyyy-MM-dd-HH``, over diffs stored by hour.
+
+    ``diffs_path`` is what ``write_by_hour`` wrote, each diff under the hour in which
+    it was stored. Only folders from ``look_back`` hours before the start are read,
+    whatever the table has grown to.
+    """
+    first, last = (datetime.strptime(h, "%Y-%m-%d-%H") for h in (start, end))
+    at = lambda t: F.lit(t.isoformat(" ")).cast("timestamp_ntz")
+    keyed = in_hours(commit_events(raw, owned), at(first), at(last))
+    classified = classify_batch(resolve_messages(keyed, commits), scorer=scorer)
+    early = (first - timedelta(hours=look_back)).strftime("%Y-%m-%d-%H")
+    diffs = read_by_hour(raw.sparkSession, diffs_path, early, end).select("repo", "sha", "diff")
+    return Scan(classified, scan_diffs(attach_diffs(suspicious_only(classified), diffs), salt))
+
+
 def scan(raw: DataFrame, commits: DataFrame, diffs: DataFrame, salt: str, *,
          owned: tuple[Owned, Owned] | None = None, fraction: float | None = None,
          scorer: str | None = None, max_commits: int | None = None,

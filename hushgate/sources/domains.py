@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushgate.rules import DOMAIN_PATTERN, FREEMAIL_DOMAINS
-from hushgate.sources.store import stage
+from hushgate.sources.store import matching, remove, stage, write_bytes
+
+COMPLETE, KEPT_VERSIONS = "_COMPLETE", 3
 
 
 def extract_domains(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -30,18 +34,44 @@ def write_domain_list(domains: DataFrame, path: str, source: str) -> bool:
     """Store sorted distinct domains and their count; an empty list changes nothing.
 
     Domains are JSON lines rather than one array, so no task holds them all.
+    Each list is a folder of its own whose mark is written last: readers take the
+    newest marked one, so a write that fails halfway leaves the old list whole.
+    Writers take turns; the last KEPT_VERSIONS lists stay for readers under way.
     """
+    spark = domains.sparkSession
     rows = stage(domains.select("domain").distinct(), "domains")
     if rows.isEmpty():
         return False
-    rows.orderBy("domain").write.mode("overwrite").json(f"{path}/domains")
+    older = versions(spark, path, complete=False)
+    version = f"{path}/v{max(older, default=0) + 1:08d}"
+    rows.orderBy("domain").write.json(f"{version}/domains")
     (rows.agg(F.count("*").alias("count")).select(F.lit(source).alias("source"), "count")
-     .write.mode("overwrite").json(f"{path}/summary"))
+     .write.json(f"{version}/summary"))
+    write_bytes(spark, f"{version}/{COMPLETE}", b"")
+    for old in older[:1 - KEPT_VERSIONS]:
+        remove(spark, f"{path}/v{old:08d}")
     return True
 
 
+def versions(spark: SparkSession, path: str, complete: bool = True) -> list[int]:
+    """Numbers of the stored versions in order, by default of those written to the end."""
+    found = matching(spark, f"{path}/v*/{COMPLETE}" if complete else f"{path}/v*")
+    return sorted(int(re.search(r"/v(\d{8})(?:/|$)", p).group(1)) for p in found if re.search(r"/v\d{8}(?:/|$)", p))
+
+
+def _newest(spark: SparkSession, path: str) -> str:
+    done = versions(spark, path)
+    if not done:
+        raise FileNotFoundError(f"no complete domain list in {path}")
+    return f"{path}/v{done[-1]:08d}"
+
+
 def read_domain_list(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("domain string").json(f"{path}/domains")
+    return spark.read.schema("domain string").json(f"{_newest(spark, path)}/domains")
+
+
+def read_domain_summary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("source string, count bigint").json(f"{_newest(spark, path)}/summary")
 
 
 def read_domain_document(spark: SparkSession, path: str) -> DataFrame:

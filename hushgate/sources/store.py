@@ -36,8 +36,7 @@ def staging(spark: SparkSession, folder: str | None = None) -> Iterator[str]:
         yield own
     finally:
         _folders.remove(own)
-        path = spark._jvm.org.apache.hadoop.fs.Path(own)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, own)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -56,6 +55,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a glob pattern."""
+    glob = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = glob.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(glob)
+    return [f.getPath().toString() for f in found or []]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """A file or folder with all it holds."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """A small file, replaced if it is there, by whatever file system the path names."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
