@@ -447,6 +447,9 @@ BODIES: dict[str, str] = {
     "write_report_json": JSON,
     "report_markdown": MARKDOWN,
     "report_text": TEXT,
+    "report_text_errors": f"""{TEXT} UNION ALL SELECT 7, unnest([0, 1]), unnest(['', '  Errors (' || (SELECT count(*) FROM ce WHERE event_id % 50 = 7) || '):'])
+        UNION ALL SELECT 8, row_number() OVER (ORDER BY line) - 1, '    ! ' || line
+        FROM (SELECT {BROKEN} AS line FROM ce WHERE event_id % 50 = 7 ORDER BY line LIMIT 5)""",
     "write_domain_list": "SELECT 'pages' AS source, count(*) AS count FROM found_domains",
     "read_domain_list": "SELECT domain FROM found_domains",
     "extract_domains": "SELECT domain FROM found_domains",
@@ -544,6 +547,10 @@ BODIES: dict[str, str] = {
     "scan_hours": """SELECT * FROM ({scan}) WHERE (repo, sha) IN (SELECT (s.repo, s.sha) FROM suspicious s
         WHERE s.ts >= TIMESTAMP '2024-01-10' AND s.ts < TIMESTAMP '2024-01-12') AND (repo, sha) IN (SELECT (repo, sha) FROM keyed
         WHERE NOT is_pr GROUP BY repo, sha HAVING date_trunc('hour', min(ts)) >= TIMESTAMP '2024-01-08' AND min(ts) < TIMESTAMP '2024-01-12')""",
+    "scan_one": f"""SELECT repo, sha, file, line_no, sign, detector, pos, {red('value')} AS secret_redacted, {fp('value')} AS secret_fp
+        FROM ({hits("""(SELECT a.* FROM changed a JOIN (SELECT p.repo, p.sha FROM push_keys p WHERE (p.user_id * 100 + p.k) % (SELECT count(*) FROM documents)
+          IN (SELECT doc_id FROM doc_hits) AND len(string_split(p.repo, '/')) = 2 ORDER BY p.sha, p.repo LIMIT 1) w
+          ON a.repo = w.repo AND a.sha = w.sha WHERE sign <> chr(32))""", 'repo, sha, file, line_no, sign')})""",
     "scan": "{scan}",
     "scan_owned": """SELECT * FROM ({scan}) WHERE (repo, sha) IN (SELECT (s.repo, s.sha) FROM suspicious s
         JOIN attributed a ON a.event_id = s.event_id WHERE a.is_owned)""",

@@ -885,3 +885,21 @@ def scan_hours(spark, sf):
     stored = v.diffs(spark, sf).join(pushed.groupBy("repo", "sha").agg(F.min("ts").alias("ts")), ["repo", "sha"])
     store.write_by_hour(stored, path, files_per_hour=1)
     return N.scan_hours(v.raw_events(spark, sf), v.commits(spark, sf), path, v.SALT, "2024-01-10-00", "2024-01-12-00", look_back=48).findings
+
+
+@query
+def report_text_errors(spark, sf):
+    """The terminal report of a run whose archives hold broken lines."""
+    summary, found, _, stats = _report_inputs(spark, sf)
+    return P.report_text(summary, found, stats, archive.corrupt_lines(spark, _archive_folder(spark, sf)))
+
+
+@query
+def scan_one(spark, sf):
+    """One commit by address: the first, in order of its hash, whose document holds something."""
+    docs = v.table(spark, sf, "documents")
+    n = docs.count()
+    holding = D.detect_secrets(docs, ["doc_id"], v.SALT).select("doc_id").distinct()
+    keys = v.push_keys(spark, sf).filter(F.size(F.split("repo", "/")) == 2).withColumn("doc_id", (F.col("user_id") * 100 + F.col("k")) % n)
+    sha, repo = keys.join(holding, "doc_id", "left_semi").agg(F.min(F.struct("sha", "repo")).alias("m")).select("m.*").first()
+    return N.scan_one(f"git@github.com:{repo}.git", sha, v.commits(spark, sf), v.diffs(spark, sf), v.SALT).findings

@@ -8,12 +8,14 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hushgate.functions.forge import repo_url_parts
 from hushgate.functions.secrets import has_secret
+from hushgate.functions.text import first_line
 from hushgate.operators import events as E
 from hushgate.operators.attribute import Owned, attribute_events, owned_only
-from hushgate.operators.classify import classify_batch, suspicious_only
+from hushgate.operators.classify import classify, classify_batch, suspicious_only
 from hushgate.operators.detect import detect_in_diffs
-from hushgate.operators.resolve import attach_diffs, resolve_messages
+from hushgate.operators.resolve import attach_diffs, one_commit, resolve_messages
 from hushgate.sources.archive import in_hours
 from hushgate.sources.store import read_by_hour
 
@@ -69,6 +71,20 @@ def scan_hours(raw: DataFrame, commits: DataFrame, diffs_path: str, salt: str, s
     return Scan(classified, scan_diffs(attach_diffs(suspicious_only(classified), diffs), salt))
 
 
+def scan_one(url: str, sha: str, commits: DataFrame, diffs: DataFrame, salt: str) -> Scan:
+    """The classified message and the findings of one commit, named by the address of its repository.
+
+    The address is a constant, so the filters on repository and commit reach the scans.
+    An address without owner and name gives nothing.
+    """
+    parts = repo_url_parts(F.lit(url))
+    repo = F.concat(parts["owner"], F.lit("/"), parts["repo"])
+    named = (parts["owner"] != "") & (parts["repo"] != "")
+    one = commits.filter(named & (F.col("repo") == repo) & (F.col("sha") == sha))
+    classified = classify(one.select("repo", "sha", first_line(F.col("message")).alias("message")))
+    return Scan(classified, scan_diffs(one_commit(diffs.filter(named), repo, sha), salt))
+
+
 def scan(raw: DataFrame, commits: DataFrame, diffs: DataFrame, salt: str, *,
          owned: tuple[Owned, Owned] | None = None, fraction: float | None = None,
          scorer: str | None = None, max_commits: int | None = None,

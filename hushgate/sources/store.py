@@ -17,11 +17,18 @@ _folders: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: that of the surrounding :func:`staging`,
     else ``spark.checkpoint.dir``, else one beside the warehouse's tables.
+
+    On a cluster a warehouse on a local disk is refused: each machine would
+    write to a folder of its own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if _folders or root:
         return (_folders[-1] if _folders else root).rstrip("/")
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
+    warehouse, master = spark.conf.get("spark.sql.warehouse.dir").rstrip("/"), spark.sparkContext.master
+    one_machine = master.startswith("local") and not master.startswith("local-cluster")
+    if not one_machine and warehouse.split(":")[0] in ("file", warehouse):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{warehouse}/_staged"
 
 
 @contextmanager
