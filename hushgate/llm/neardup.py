@@ -8,12 +8,14 @@ counted once. Lists longer than a block are split, and pairs of blocks go to
 different tasks; a task gives counts and the edges of a forest, never pairs.
 
 Pivots are chosen from a bounded sample, the ``SAMPLE`` vectors with the
-smallest hashes; every vector is indexed. Equal vectors are one with a weight. The index is
+smallest hashes among those of the most frequent length; vectors of another
+length have lists of their own, by random pivots that follow from the length.
+Every vector is indexed. Equal vectors are one with a weight. The index is
 approximate: recall is measured in the tests.
 
-Defined results: vectors that are null, zero, hold null or non-finite parts,
-or are not of the most frequent length link with nothing; null and repeated
-keys are vectors of their own, their component is the least key in it; empty
+Defined results: vectors that are null, zero, or hold null or non-finite parts
+link with nothing, and vectors of different lengths not with each other; null
+and repeated keys are vectors of their own, their component is the least key in it; empty
 tables give no rows; other columns are ignored.
 """
 
@@ -24,6 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +58,11 @@ def choose_pivots(sample: np.ndarray, most: int = PIVOTS, apart: float = 0.5, le
     return sample[kept + rest[: max(0, least - len(kept))]]
 
 
+def random_pivots(length: int) -> np.ndarray:
+    """Pivots for vectors of a length that was not sampled; fewer where few directions are to be told apart."""
+    return _unit(np.random.default_rng(length).standard_normal((min(PIVOTS, 4 + 4 * length), length)))
+
+
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, m: int) -> np.ndarray:
     """Numbers of the m nearest pivots of each row, nearest first."""
     return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :m]
@@ -97,9 +105,14 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _verify(cosine: float, length: int):
+#: Lists of one length; a list number is the length times this and three pivots.
+LISTS = PIVOTS ** SHARED
+
+
+def _verify(cosine: float):
     def group(key, rows):
         """Rows ``(list, i, j, node, weight, block, unit, near)`` of one pair of blocks."""
+        length = key[0] // LISTS
         x, near = _unit(np.array([np.frombuffer(r[6], np.float32 if len(r[6]) == 4 * length else np.float64) for r in rows])), np.array([r[7] for r in rows])
         w, block = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
         own = near_mask = _masks(near)
@@ -153,20 +166,29 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(key).alias("key"), v.alias("v"), F.coalesce(fine, F.lit(False)).alias("fine"))
     length = rows.filter("fine").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    fine = F.col("fine") & (F.size("v") == F.lit(length.d if length else 0))
-    rows = rows.select("key", "v", fine.alias("fine"), F.xxhash64("v").alias("h1"), F.xxhash64(F.lit("b"), "v").alias("h2"))
+    rows = rows.select("key", "v", "fine", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit("b"), "v").alias("h2"))
     classes = stage(rows.filter("fine").groupBy("h1", "h2").agg(F.count("*").alias("weight"), F.min("key").alias("least"), F.first("v").alias("v"))
                     .withColumn("node", F.monotonically_increasing_id()), "vectors")
-    sample = [r.v for r in classes.orderBy(F.xxhash64("h1"), "h2").limit(SAMPLE).select("v").collect()]
+    usual = F.size("v") == F.lit(length.d if length else 0)
+    sample = [r.v for r in classes.filter(usual).orderBy(F.xxhash64("h1"), "h2").limit(SAMPLE).select("v").collect()]
     own = rows.select("key", "h1", "h2", "fine")
     if not sample:
         return own.select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"),
                           F.col("key").isNotNull().alias("kept"))
-    pivots = choose_pivots(_unit(np.array(sample)))
+    pivots_of = {length.d: choose_pivots(_unit(np.array(sample)))}
+
+    def of_one_length(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        size = pc.list_value_length(b.column("v"))
+        for d in pc.unique(size):
+            yield b.filter(pc.equal(size, d))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in of_one_length(whole)):
             raw = np.array(b.column("v").to_pylist(), np.float64)
+            length = raw.shape[1]
+            if length not in pivots_of:
+                pivots_of[length] = random_pivots(length)
+            pivots = pivots_of[length]
             short = raw.astype(np.float32)
             if (short == raw).all():  # as most tables have it; the task computes in double precision
                 raw = short
@@ -174,7 +196,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
             near = nearest_pivots(x, pivots, min(nearest, len(pivots)))
             yield pa.RecordBatch.from_arrays(
                 [b.column("node"), b.column("weight"), pa.array([r.tobytes() for r in raw], pa.binary()),
-                 pa.array([r.tobytes() for r in near.astype(np.int16)], pa.binary()), pa.array(lists_of(near).tolist(), pa.list_(pa.int64()))],
+                 pa.array([r.tobytes() for r in near.astype(np.int16)], pa.binary()), pa.array((lists_of(near) + length * LISTS).tolist(), pa.list_(pa.int64()))],
                 names=["node", "weight", "vector", "near", "lists"])
 
     index = stage(classes.select("node", "weight", "v").mapInArrow(
@@ -193,7 +215,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tasks = entries.select("list", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "weight", "block", "vector", "near")
     found = stage(tasks.repartition(n, "list", "i", "j").sortWithinPartitions("list", "i", "j").mapInArrow(
-        _verify(cosine, length.d), "node long, links long, root long"), "vector-links")
+        _verify(cosine), "node long, links long, root long"), "vector-links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     comps = components(found.select("node", "root").distinct(), "node", "root")
     state = (classes.select("h1", "h2", "node", "weight", "least").join(links, "node", "left")
