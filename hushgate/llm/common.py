@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -31,6 +32,29 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(BATCH_CONF, before)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """The same Arrow function, giving freed memory back to the machine after each batch and at the end.
+
+    Python workers live on between tasks and steps; without this each keeps its
+    largest moment for as long as it lives.
+    """
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(batches):
+            yield b
+            del b
+            _give_back()
+        _give_back()
+    return tidied
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a result that later steps read, and let Spark drop what made it.
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushgate.llm.common import mix64, only_buckets_of, stage, text_buffer
+from hushgate.llm.common import mix64, only_buckets_of, small_batches, stage, text_buffer, tidy
 from hushgate.llm.components import components
 
 #: Common tokens: kept entries, least sum of local counts, tokens counted at a time, share of documents that counts locally.
@@ -116,8 +116,9 @@ def common_tokens(docs: DataFrame, text: str, n: int) -> np.ndarray:
         if held:
             yield frequent(held)
 
-    top = (docs.select(text).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-           .filter(F.col("n") >= LEAST_COMMON).orderBy(F.desc("n"), "token").limit(COMMON).toPandas())
+    with small_batches(docs.sparkSession):
+        top = (docs.select(text).mapInArrow(tidy(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+               .filter(F.col("n") >= LEAST_COMMON).orderBy(F.desc("n"), "token").limit(COMMON).toPandas())
     return top["token"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
 
@@ -148,7 +149,7 @@ def set_index(docs: DataFrame, common: np.ndarray, key: str, text: str, n: int,
                  as_list(firsts), pa.array(parities, pa.binary())], names=["key", "n", "d1", "d2", "first", "parity"])
 
     return docs.select(F.col(key).cast("long").alias("key"), text).mapInArrow(
-        run, "key long, n long, d1 long, d2 long, first array<long>, parity binary")
+        tidy(run), "key long, n long, d1 long, d2 long, first array<long>, parity binary")
 
 
 def _compare(percent: int, n: int):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushgate.llm.common import stage
+from hushgate.llm.common import stage, tidy
 
 
 LONGEST, SHORTEST = 1024, 128
@@ -154,7 +154,7 @@ def tokenize(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    return rows.mapInArrow(run, f"row long, doc_id {kind}, tokens long, ids binary")
+    return rows.mapInArrow(tidy(run), f"row long, doc_id {kind}, tokens long, ids binary")
 
 
 def _on_lines(rows: DataFrame) -> tuple[DataFrame, dict[int, tuple[int, int, int]]]:
@@ -276,4 +276,4 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     mine = pieces.groupBy("row").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset", "tier", "nth")).alias("pieces"))
     joined = tokens.join(firsts.join(mine, "row", "left"), "row").select("doc_id", "tokens", "ids", "first", "pieces")
     kind = docs.schema[key].dataType.simpleString()
-    return joined.mapInArrow(_emit(kind), PIECES.format(kind=kind)).withColumnRenamed("doc_id", key)
+    return joined.mapInArrow(tidy(_emit(kind)), PIECES.format(kind=kind)).withColumnRenamed("doc_id", key)

@@ -31,6 +31,8 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hushgate.llm.common import tidy
+
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -184,7 +186,7 @@ def scan(docs: DataFrame, dictionary: bytes, key: str = "doc_id", text: str = "t
             found = [[dict(zip(("kind", "start", "end"), s)) for s in all_spans(t.as_py() or "", novelty)] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, _SPANS)], names=[key, "spans"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, spans {SPANS}")
+    return docs.select(key, text).mapInArrow(tidy(run), f"`{key}` {docs.schema[key].dataType.simpleString()}, spans {SPANS}")
 
 
 def redact(docs: DataFrame, dictionary: bytes, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -207,4 +209,4 @@ def redact(docs: DataFrame, dictionary: bytes, text: str = "text", mark: str = "
             new = pa.array([clean(t.as_py(), novelty) for t in b.column(i)], b.schema.field(i).type)
             yield pa.RecordBatch.from_arrays([new if k == i else c for k, c in enumerate(b.columns)], schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

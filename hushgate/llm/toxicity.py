@@ -34,7 +34,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushgate.llm.common import stage
+from hushgate.llm.common import small_batches, stage, tidy
 
 WINDOW = 64
 SAMPLE, SAMPLE_BYTES = 2500, 32 << 10
@@ -127,7 +127,7 @@ def _some_windows(samples: DataFrame, of: Callable[[str], list[bytes]]) -> list[
             for t in b.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(of(t.as_py()), pa.binary())], names=["w"])
 
-    picked = samples.select("t").mapInArrow(run, "w binary").orderBy(F.xxhash64("w"), "w").limit(DICT_WINDOWS)
+    picked = samples.select("t").mapInArrow(tidy(run), "w binary").orderBy(F.xxhash64("w"), "w").limit(DICT_WINDOWS)
     return picked.toArrow()["w"].to_pylist()
 
 
@@ -184,7 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             x = [scorer.features(t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
 
-    fit = of[1].select("t", "y").mapInArrow(describe, "y int, x array<double>").orderBy("y", "x").collect()
+    with small_batches(docs.sparkSession):
+        fit = of[1].select("t", "y").mapInArrow(tidy(describe), "y int, x array<double>").orderBy("y", "x").collect()
     return Model(base, extra, fit_weights(np.array([r.x for r in fit]), np.array([r.y for r in fit]), share))
 
 
@@ -197,7 +198,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.float64())], names=[key, "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double")
+    return docs.select(key, text).mapInArrow(tidy(run), f"`{key}` {kind}, score double")
 
 
 def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -209,4 +210,4 @@ def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float =
         for b in batches:
             yield b.filter(pa.array([scorer.score(t.as_py() or "") < threshold for t in b.column(i)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
