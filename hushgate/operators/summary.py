@@ -90,7 +90,7 @@ def distinct_sketches(findings: DataFrame, part: str) -> DataFrame:
 def merge_sketches(stored: DataFrame, *by: str) -> DataFrame:
     """Totals and estimated distinct values over stored parts; values that occur in many parts count once."""
     return stored.groupBy(*by).agg(
-        F.sum("total_findings").alias("total_findings"), F.sum("verified_count").alias("verified_count"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total_findings", "verified_count")],
         *[F.hll_sketch_estimate(F.hll_union_agg(name)).alias(name) for name in SKETCHED])
 
 
