@@ -7,8 +7,8 @@ of the word in its window gives where the window would begin, length and
 position bounds drop what cannot fit, and the words there are compared.
 
 Defined results: null and empty texts have no words and are clean; items
-without words have no windows; null keys and repeated rows are documents and
-items of their own; empty tables give no rows or only clean ones; other
+without words have no windows; null keys and repeated rows are documents of
+their own; an item without id hits, but is not among the named items; empty tables give no rows or only clean ones; other
 columns are ignored.
 """
 
