@@ -3,8 +3,8 @@
 Rows are ordered by a hash of their text, so equal texts lie together. A
 size-weighted sample of these keys gives quantile boundaries for many fine
 ranges; the exact bytes and rows of each range are then counted, ranges that
-came out overfull are sampled and cut again, and consecutive ranges fill the
-shards. A range that holds a single text is cut by row, so one text may fill
+came out overfull are sampled and cut again until none is, and consecutive
+ranges fill the shards. What one row holds cannot be cut and does not count. A range that holds a single text is cut by row, so one text may fill
 several shards; all other equal texts share one.
 
 Defined results: a null text counts one byte and shares its key with other
@@ -79,7 +79,7 @@ def _sampled_cuts(rows: DataFrame, weight, cut_by: str, per_range: dict[int, tup
     return cuts
 
 
-def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", rounds: int = 4) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", most_rounds: int = 40) -> DataFrame:
     """``(key, size, text_crc32, shard, slot)`` with near-equal bytes in each shard and slots without gaps from 0."""
     keys = stage(docs.select(
         F.col(key).cast("long").alias("id"), (utf8_bytes(F.col(text)) + 1).alias("size"),
@@ -89,18 +89,20 @@ def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "t
     weight = F.col("size") / F.lit(max(total, 1) * 2.0) + F.lit(0.5 / max(n, 1))
     ranges = min(shards * RANGES_PER_SHARD, max(n, 1))
     cuts = _sampled_cuts(keys.withColumn("range", F.lit(0)), weight, "h", {0: (1.0, ranges)}, 0)
-    for i in range(1, rounds + 1):
+    for i in range(1, most_rounds + 1):
         cuts = sorted(set(cuts))
         rows = _ranged(keys, cuts)
         held = rows.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"), F.sum(weight).alias("w"),
-                                         F.min("h").alias("low"), F.max("h").alias("high")).collect()  # a row for each range
-        over = [r for r in held if r.rows > 1
-                and r.w > (OVERFULL / ranges if r.low < r.high else max(OVERFULL / ranges, SPLIT_TEXT / shards))]
-        if not over or i == rounds:
+                                         F.max(weight).alias("top"), F.min("h").alias("low"), F.max("h").alias("high")).collect()  # a row for each range
+        over = [r for r in held if r.rows > 1 and r.w - r.top > OVERFULL / ranges
+                and (r.low < r.high or r.w > SPLIT_TEXT / shards)]
+        if not over:
             break
         parts = lambda some: {r.range: (r.w, int(np.ceil(r.w * ranges))) for r in some}
         cuts += _sampled_cuts(rows, weight, "h", parts(r for r in over if r.low < r.high), i)
         cuts += _sampled_cuts(rows, weight, "tie", parts(r for r in over if r.low == r.high), i)
+    else:
+        raise RuntimeError("ranges did not come down to their share")
     at, slots, placed = 0, [0] * shards, []
     for r in sorted(held, key=lambda r: r.range):
         s = min(shards - 1, int((at + r.bytes / 2) * shards / total))

@@ -135,6 +135,16 @@ def test_shards_are_even_and_keep_texts_together(spark, odd, nothing):
     assert sharding.shard(nothing, 4).count() == 0
 
 
+def test_ranges_are_cut_until_none_is_overfull(spark):
+    """Very long texts among short ones, and a hot text beside them, whatever the first sample caught."""
+    texts = [words(i, 12) for i in range(2000)] + [words(i, 6000) for i in range(3)] + ["warm text"] * 700
+    got = sharding.shard(doc_table(spark, texts), 2).collect()
+    sizes, largest = shards_ok(got, 2), max(r.size for r in got)
+    assert len(got) == len(texts) and max(sizes.values()) - min(sizes.values()) <= 2 * largest
+    with pytest.raises(RuntimeError):
+        sharding.shard(doc_table(spark, texts), 2, most_rounds=0)
+
+
 def test_locate_is_lexical():
     h, tie = np.array([1, 5, 5, 5, 9]), np.array([0, 1, 2, 3, 0])
     cut_h, cut_tie = np.array([5, 5, 7]), np.array([sharding.FIRST, 2, sharding.FIRST])
@@ -441,6 +451,21 @@ def test_suffix_dedup(spark, most):
     assert [got[i] for i in range(len(texts))] == brute_removed(texts)
 
 
+def test_suffix_passages_below_and_above_the_length(spark):
+    """Short rows over many partitions; passages of over 50 words go from 400 bytes on and stay below."""
+    passages = {n: words(500 + n, 120)[:n].replace("  ", " x") for n in (390, 398, 399, 400, 401, 420, 520)}
+    texts = []
+    for n, p in passages.items():
+        assert len(p) == n and len(p.split()) > 50
+        texts += [f"{words(7 * n + i, 12)}|{i}{p}{chr(97 + i)}|{words(9 * n + i, 12)}" for i in range(4)]
+    texts += [words(4000 + i, 25) for i in range(150)] + ["copy " + words(99, 70)] * 60
+    table = doc_table(spark, texts).repartition(61)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(table).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_removed(texts)
+    lost = {n: {got[4 * k + i][1] for i in range(4)} for k, n in enumerate(passages)}
+    assert lost == {n: {n if n >= 400 else 0} for n in passages}
+
+
 def test_suffix_odd_rows(spark, odd, nothing):
     got = suffixes.remove_repeats(odd).collect()
     assert len(got) == 10 and {r.n_removed == r.n_bytes for r in got if r.doc_id == 3} == {True}
