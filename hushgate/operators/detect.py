@@ -73,6 +73,18 @@ def diff_lines(diffs: DataFrame) -> DataFrame:
             .select("repo", "sha", "file", "c.line_no", "c.sign", F.substr("c.line", F.lit(2)).alias("text")))
 
 
+def _placed(text: Column, detectors: Sequence[Detector]) -> Column:
+    """Hits with ``start``, from 1: each is looked for behind the one before of its detector, so equal values differ."""
+    def step(s: Column, h: Column) -> Column:
+        start = F.call_function("locate", h["value"], text, F.when(s["of"] == h["detector"], s["next"]).otherwise(1))
+        hit = F.struct(h["detector"].alias("detector"), h["pos"].alias("pos"), h["value"].alias("value"), start.alias("start"))
+        return F.struct(h["detector"].alias("of"), (start + F.length(h["value"])).alias("next"), F.concat(s["hits"], F.array(hit)).alias("hits"))
+
+    none = F.array().cast("array<struct<detector:string,pos:int,value:string,start:int>>")
+    begin = F.struct(F.lit("").alias("of"), F.lit(1).alias("next"), none.alias("hits"))
+    return F.aggregate(S.secret_hits(text, detectors), begin, step, lambda s: s["hits"])
+
+
 def multi_line_hits(diffs: DataFrame, keys: Sequence[str], detectors: Sequence[Detector] = MULTI_LINE) -> DataFrame:
     """Matches that may span lines: the lines of one sign in a hunk are read as one text.
 
@@ -82,9 +94,8 @@ def multi_line_hits(diffs: DataFrame, keys: Sequence[str], detectors: Sequence[D
     one = changed_hunks(diffs).select("repo", "sha", "file", F.explode(sides).alias("s"))
     text = F.array_join(F.transform("s.lines", lambda x: F.substr(x["line"], F.lit(2))), "\n")
     one = one.select("repo", "sha", "file", "s.sign", "s.lines", text.alias("text"))
-    hits = one.select("repo", "sha", "file", "sign", "lines", "text", F.explode(S.secret_hits(F.col("text"), detectors)).alias("_h"))
-    before = F.expr("left(text, locate(_h.value, text) - 1)")
-    at = F.size(F.split(before, "\n"))
+    hits = one.select("repo", "sha", "file", "sign", "lines", "text", F.explode(_placed(F.col("text"), detectors)).alias("_h"))
+    at = F.size(F.split(F.expr("left(text, _h.start - 1)"), "\n"))
     return (hits.withColumn("line_no", F.element_at("lines", at)["line_no"])
             .select(*keys, F.col("_h.detector").alias("detector"), F.col("_h.pos").alias("pos"), F.col("_h.value").alias("_value")))
 

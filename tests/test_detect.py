@@ -151,3 +151,14 @@ def test_private_keys_in_diffs_are_whole(spark):
     assert {(r.detector, r.line_no, r.sign) for r in got.values()} == {("private_key", 6, "+")}
     whole = "\n".join(key(["RkFLRQ==", "Rg=="]))
     assert got["1"].secret_fp == hashlib.sha256((SALT + whole).encode()).hexdigest() != got["2"].secret_fp
+
+
+def test_equal_private_keys_in_one_hunk_have_lines_of_their_own(spark):
+    key = ["-----BEGIN RSA PRIVATE KEY-----", "RkFLRQ==", "-----END RSA PRIVATE KEY-----"]
+    other = [key[0], "T1RIRVI=", key[2]]
+    lines = ["é one", *key, "two", *other, *key, "three", *key]
+    diff = "diff --git a/k b/k\n--- a/k\n+++ b/k\n@@ -1,13 +5,15 @@\n" + "".join(f"{s}{x}\n" for s in "-+" for x in lines)
+    rows = D.detect_in_diffs(spark.createDataFrame([("o/r", "1", diff)], "repo string, sha string, diff string"), SALT).collect()
+    got = sorted((r.sign, r.pos, r.line_no) for r in rows if r.detector == "private_key")
+    at = [i for i, x in enumerate(lines) if x == key[0]]
+    assert got == [(sign, k, first + i) for sign, first in (("+", 5), ("-", 1)) for k, i in enumerate(at)]
