@@ -6,7 +6,7 @@ import re
 
 from hushgate import rules
 from hushgate.catalog.queries import CUSTOM_WORDS, FORGES
-from hushgate.catalog.views import MESSAGES, SALT
+from hushgate.catalog.views import INVENTED, MESSAGES, SALT
 from hushgate.functions.verdict import WORD_SETS
 from hushgate.operators.detect import DETECTOR_CATALOG, GENERIC_DETECTORS
 
@@ -532,6 +532,8 @@ BODIES: dict[str, str] = {
         row_number() OVER (PARTITION BY repo, sha ORDER BY ts, event_id) AS rn FROM keyed) WHERE rn = 1""",
     # detection
     "detect_secrets": f"SELECT doc_id, detector, pos, {red('value')} AS secret_redacted, {fp('value')} AS secret_fp FROM doc_hits",
+    "detect_every_kind": f"""SELECT doc_id, detector, pos, {red('value')} AS secret_redacted, {fp('value')} AS secret_fp FROM (
+        {hits(f"(SELECT doc_id, text || {NL} || {pick(INVENTED, 'doc_id')} || ' end' AS text FROM documents)", 'doc_id')})""",
     "detect_in_pages": f"SELECT page_id, detector, pos, {red('value')} AS secret_redacted, {fp('value')} AS secret_fp FROM page_hits",
     "detect_in_conversations": f"""SELECT conv_id, turn, detector, pos, {red('value')} AS secret_redacted,
         {fp('value')} AS secret_fp FROM ({hits('conversations', 'conv_id, turn')})""",

@@ -509,6 +509,11 @@ def detect_secrets(spark, sf):
     return D.detect_secrets(v.table(spark, sf, "documents"), ["doc_id"], v.SALT)
 
 
+@query
+def detect_every_kind(spark, sf):
+    return D.detect_secrets(v.documents_with_values(spark, sf), ["doc_id"], v.SALT)
+
+
 @query
 def detect_in_pages(spark, sf):
     return D.detect_secrets(v.page_texts(spark, sf), ["page_id"], v.SALT)

@@ -28,6 +28,12 @@ MESSAGES = [
 ]
 
 
+# One made-up value in the shape of each detector; none of them opens anything.
+INVENTED = [
+    "-----BEGIN EC PRIVATE KEY-----\nTk9ORQ==\n-----END EC PRIVATE KEY-----", "sk-ant-" + "none1" * 5, "sk-" + "None2" * 5, "AIza" + "none3" * 7,
+    "AKIA" + "NONE" * 4, "rk_live_" + "none" * 6, "key-" + "none" * 8, "SK" + "de" * 16, "Password: 'not-a-real-one'", "fedcba9876543210" * 2]
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -151,6 +157,12 @@ def page_texts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", "url", unescape_basic(F.col("html")).alias("text"))
 
 
+def documents_with_values(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents, each followed by one of the made-up values in turn."""
+    value = pick(INVENTED, F.col("doc_id"))
+    return table(spark, sf, "documents").select("doc_id", F.concat("text", F.lit("\n"), value, F.lit(" end")).alias("text"))
+
+
 def findings(spark: SparkSession, sf: str) -> DataFrame:
     """Findings in documents and pages; labels stand in for the verified column."""
     found = detect_secrets(table(spark, sf, "documents"), ["doc_id", "source"], SALT)
