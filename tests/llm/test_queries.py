@@ -57,3 +57,23 @@ def test_one_of_each_group_stays_whatever_the_ids(spark):
                                  "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     got = sorted(((r.doc_id, (r.text or "")[:3]) for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()), key=str)
     assert got == sorted([(None, "waa"), (7, "wba"), (3, "wca"), (5, "wda"), (None, ""), (None, ""), (4, ""), (6, "")], key=str)
+
+
+def test_all_stages_on_odd_rows_and_an_empty_table(spark):
+    """Null, empty, blank and long texts, repeated rows, null and shared ids, null columns go through every stage."""
+    long = " ".join(f"v{i * 7919 % 10007}" for i in range(30_000))
+    rows = [(0, None, "en", "x"), (1, "", None, None), (2, " \n\t", "en", None), (3, long, None, "x"), (3, long, None, "x"), (4, long + " end", "en", "x"),
+            (5, "short", "en", "x"), (None, None, None, None), (None, "é ß 日本 </s>", "en", "x"), (6, "token = 'abcdef123456'", "en", "x")]
+    docs = spark.createDataFrame([(i, t, a, b, len(t) if t else None) for i, t, a, b in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for some in (docs, docs.filter("false")):
+        kept, last = some, corpus_pipeline.STAGES[-1][0]
+        for name, work in corpus_pipeline.STAGES:
+            kept = stage(work(spark, kept, SF), f"test-{name}")
+            if name == "secrets":
+                texts = {(r.doc_id, r.text) for r in kept.collect()}
+            assert name == last or kept.columns == corpus_pipeline.COLUMNS
+        want = {(0, None), (1, ""), (2, " \n\t"), (3, long), (5, "short"), (None, None), (None, "é ß 日本 </s>"), (6, "[SECRET]'")}
+        full = some is docs
+        assert texts == (want if full else set())
+        assert {r.doc_id for r in kept.collect()} == ({i for i, _ in want} if full else set())
