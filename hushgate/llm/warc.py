@@ -2,6 +2,8 @@
 
 Headers alone are grouped by payload digest; the record with the smallest key
 in a group of equal payloads stays a response and the others point at it.
+Revisits are made of headers and responses of the table itself: payloads that
+nothing repeats are not shuffled.
 Archives are written by Spark's text writer, whose line separator is the end
 mark of a record, so no task opens a file by itself.
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushgate.llm.common import empty_text, sha256_hex, utf8_bytes
+from hushgate.llm.common import FILTER_BUCKETS, empty_text, only_buckets_of, sha256_hex, stage, utf8_bytes
 
 #: Payloads below this many bytes are always written in full.
 LEAST_REVISIT_BYTES = 100
@@ -38,18 +40,39 @@ def resolve_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", p
                      least_bytes: int = LEAST_REVISIT_BYTES) -> DataFrame:
     """Key, address and payload with ``payload_digest``, ``payload_bytes``, ``record_type`` and ``refers_to``.
 
-    The least key per digest is an aggregate over headers, so equal payloads
-    combine before the shuffle; the join back keeps rows apart and can be
-    split when one payload is most of the table.
+    The least key per digest is an aggregate over staged headers, so equal
+    payloads combine before the shuffle. Revisits come out of the headers, with
+    a null payload. Rows of short payloads, or whose payload is in a hash bucket
+    without repeats, are responses where they lie; only of the others are payloads
+    shuffled, by key and digest, and by then most copies are dropped.
     """
-    full = pages.select(key, url, empty_text(F.col(payload)).alias(payload))
-    rows = full.withColumns({"payload_digest": sha256_hex(F.col(payload)), "payload_bytes": utf8_bytes(F.col(payload))})
-    first = (rows.filter(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest")
-             .agg(F.min(key).alias("_first")).filter(F.col("_first").isNotNull()))
-    again = F.coalesce(F.col("_first") != F.coalesce(F.col(key), F.col("_first") - 1), F.lit(False))
-    return (rows.join(first, "payload_digest", "left")
-            .withColumn("record_type", F.when(again, "revisit").otherwise("response"))
-            .withColumn("refers_to", F.when(again, F.col("_first"))).drop("_first"))
+    bucket = F.pmod("_hash", F.lit(FILTER_BUCKETS)).cast("int")
+    rows = (pages.select(key, url, empty_text(F.col(payload)).alias(payload))
+            .withColumns({"payload_bytes": utf8_bytes(F.col(payload)), "_hash": F.xxhash64(payload)})
+            .withColumn("_bucket", bucket))
+    digest = {"payload_digest": sha256_hex(F.col(payload))}
+    long = F.col("payload_bytes") >= least_bytes
+    heads = stage(rows.filter(long).withColumns(digest).drop(payload), "warc-headers")
+    first = (heads.groupBy("payload_digest").agg(F.min(key).alias("_first"), F.min("_bucket").alias("_bucket"), F.count("*").alias("_n"))
+             .filter("_n > 1 AND _first IS NOT NULL"))
+    # At most FILTER_BUCKETS rows of one number.
+    repeats = F.broadcast(first.select("_bucket").distinct().withColumn("_repeats", F.lit(True)))
+    revisits = (heads.join(first.select("payload_digest", "_first"), "payload_digest").filter(~F.col(key).eqNullSafe(F.col("_first")))
+                .select(key, url, F.lit(None).cast("string").alias(payload), "payload_digest", "payload_bytes",
+                        F.lit("revisit").alias("record_type"), F.col("_first").alias("refers_to")))
+    named = F.xxhash64(key, "_hash")
+    kept = (heads.join(repeats, "_bucket").join(first.select("payload_digest", "_first"), "payload_digest", "left")
+            .filter(F.col("_first").isNull() | (F.col(key) == F.col("_first")))
+            .select(F.col(key).alias("_key"), F.col("payload_digest").alias("_digest"), named.alias("_name")))
+    marked = rows.join(repeats, "_bucket", "left")
+    asks = F.coalesce(F.col("_repeats") & long, F.lit(False))
+    asked = only_buckets_of(marked.filter(asks).withColumn("_name", named).drop("_bucket"), kept, "_name").withColumns(digest)
+    same = (F.col("payload_digest") == F.col("_digest")) & F.col(key).eqNullSafe(F.col("_key"))
+    responses = (marked.filter(~asks).withColumns(digest)
+                 .unionByName(asked.join(kept.drop("_name"), same, "left_semi"), allowMissingColumns=True)
+                 .select(key, url, payload, "payload_digest", "payload_bytes", F.lit("response").alias("record_type"),
+                         F.lit(None).cast(pages.schema[key].dataType).alias("refers_to")))
+    return responses.unionByName(revisits)
 
 
 def _record_id(key: Column, digest: Column) -> Column:
@@ -68,8 +91,7 @@ def write_archive(resolved: DataFrame, path: str, date: str, key: str = "page_id
                   payload: str = "html", file_bytes: int = FILE_BYTES) -> None:
     """Write records with fresh headers under ``path``; ``date`` is the WARC-Date of all of them.
 
-    Files keep the partitioning of the join, so payloads are shuffled once;
-    records per file follow from their mean size.
+    Files keep the partitioning of the records; how many a file holds follows from their mean size.
     """
     k, digest, revisit = F.col(key), F.col("payload_digest"), F.col("record_type") == "revisit"
     size = F.when(revisit, 400).otherwise(F.col("payload_bytes") + 600)

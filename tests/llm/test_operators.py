@@ -336,6 +336,24 @@ def test_warc_round_trip_and_revisits(spark):
     assert warc.read_archive(spark, empty).count() == 0
 
 
+def test_warc_of_a_hot_payload_keeps_every_row(spark, monkeypatch):
+    """A third of the rows share a payload, many share small buckets, keys repeat or are missing."""
+    monkeypatch.setattr(warc, "FILTER_BUCKETS", 8)  # payloads without repeats meet those with
+    r = random.Random(3)
+    pages = [(None if i % 50 == 0 else r.randrange(500), "u", "hot " * 40 if i % 3 == 0 else f"text {r.randrange(300)} " * r.choice([2, 20])) for i in range(900)]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(7)
+    got = sorted(((x.page_id, x.record_type, x.refers_to, x.payload_digest, x.html) for x in warc.resolve_revisits(table).collect()), key=str)
+    least = {}
+    for k, _, h in pages:
+        if k is not None and len(h) >= 100:
+            least[h] = min(k, least.get(h, k))
+    want = []
+    for k, _, h in pages:
+        again = h in least and k != least[h]
+        want.append((k, "revisit" if again else "response", least[h] if again else None, sha(h), None if again else h))
+    assert got == sorted(want, key=str)
+
+
 # ---- secrets ---------------------------------------------------------------
 
 def test_secret_scan(spark, odd, nothing):
