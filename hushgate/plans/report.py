@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from hushgate.functions import secrets as S
 from hushgate.functions.text import dash_if_empty, thousands
 from hushgate.operators import summary as A
+from hushgate.sources.store import stage
 
 RULE = "═" * 72
 STATS = ["patterns", "regex_tier1", "regex_tier2", "llm", "cache_hit"]
@@ -40,11 +41,26 @@ def _fixed_lines(summary: DataFrame, blocks: list[Block]) -> DataFrame:
 
 
 def _listing(df: DataFrame, section: int, line: Column, *order: Column | str) -> DataFrame:
-    """Lines of a listing that a limit, or the number of detectors, keeps short."""
+    """Lines of a listing that a limit keeps short."""
     rank = F.row_number().over(Window.orderBy(*order)) - 1
     return df.select(F.lit(section).alias("section"), rank.alias("pos"), line.alias("line"))
 
 
+def _long_listing(df: DataFrame, section: int, line: Column, *order: Column | str) -> DataFrame:
+    """The same without a limit: detector names of other scanners are free text, so their number has no bound.
+
+    A range sort is stored with each row's place in its range; only the sizes
+    of the ranges are put in one order.
+    """
+    place = F.monotonically_increasing_id()  # the range above, the place within it in the lower 33 bits
+    rows = stage(df.orderBy(*order).select(line.alias("line"), place.alias("_place"))
+                 .select("line", F.shiftright("_place", 33).alias("_range"), F.col("_place").bitwiseAND((1 << 33) - 1).alias("_at")), "listing")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (rows.groupBy("_range").agg(F.count("*").alias("_n"))
+              .select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")))
+    return rows.join(starts, "_range").select(F.lit(section).alias("section"), (F.col("_start") + F.col("_at")).cast("int").alias("pos"), "line")
+
+
 def _joined(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).orderBy("section", "pos")
 
@@ -77,8 +93,8 @@ def report_markdown(summary: DataFrame, findings: DataFrame, suspicious: DataFra
              "| Repository | Commit | Message |", "|------------|--------|---------|"],
          F.col("suspicious_count") > 0),
     ]
-    table = _listing(A.verified_detector_table(findings), 2,
-                     F.format_string("| %s | %d |", "detector", "findings"), F.desc("findings"), "detector")
+    table = _long_listing(A.verified_detector_table(findings), 2,
+                          F.format_string("| %s | %d |", "detector", "findings"), F.desc("findings"), "detector")
     sample = _listing(A.sample_findings(findings, 20), 4,
                       F.format_string("| %s | %s | `%s` | %s |", F.col("detector"),
                                       dash_if_empty(F.col("repository")), F.col("commit"),

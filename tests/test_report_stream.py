@@ -54,6 +54,23 @@ def test_report_of_nothing_has_no_listings(run):
     assert lines[0] == "# Secret Scan Report" and not [x for x in lines if x.startswith("##")]
 
 
+def test_long_listings_number_their_lines_over_all_ranges(spark):
+    names = [(f"d{i * 7919 % 3000:04d}", i % 4) for i in range(3000)]
+    df = spark.createDataFrame(names, "detector string, findings int").repartition(8)
+    with_ranges = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in with_ranges}
+    for k, v in with_ranges.items():
+        spark.conf.set(k, v)
+    try:
+        rows = P._long_listing(df, 2, F.col("detector"), F.desc("findings"), "detector").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = [r.line for r in sorted(rows, key=lambda r: r.pos)]
+    assert got == [d for d, _ in sorted(names, key=lambda x: (-x[1], x[0]))]
+    assert sorted(r.pos for r in rows) == list(range(3000)) and {r.section for r in rows} == {2}
+
+
 def test_first_errors_without_errors(spark):
     assert first_errors(spark.createDataFrame([], "line string")).count() == 0
 
