@@ -123,10 +123,13 @@ def commits(spark: SparkSession, sf: str) -> DataFrame:
     return push_keys(spark, sf).filter(F.col("k") % 10 != 0).select("repo", "sha", "message")
 
 
-def diffs(spark: SparkSession, sf: str) -> DataFrame:
+def diffs(spark: SparkSession, sf: str, keys: DataFrame | None = None) -> DataFrame:
+    """The diff of every push key, or of those in ``keys``, whose further columns stay."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
     n = docs.agg(F.count("*").alias("n")).select("n").scalar()
-    keyed = push_keys(spark, sf).select("repo", "sha", ((F.col("user_id") * 100 + F.col("k")) % n).alias("doc_id"))
+    keys = push_keys(spark, sf) if keys is None else keys
+    more = [c for c in keys.columns if c not in ("repo", "sha", "user_id", "k", "message")]
+    keyed = keys.select("repo", "sha", *more, ((F.col("user_id") * 100 + F.col("k")) % n).alias("doc_id"))
     file = F.concat(F.col("source"), F.lit(".txt"))
     count = text_of(F.size(F.split("text", "\n")))
 
@@ -138,9 +141,9 @@ def diffs(spark: SparkSession, sf: str) -> DataFrame:
     added = patch("+", F.concat(F.lit("--- a/"), file, F.lit("\n+++ b/"), file, F.lit("\n@@ -1 +1,"), count))
     added = F.replace(added, F.lit(" @@\n"), F.lit(" @@\n first line\n"))
     removed = patch("-", F.concat(F.lit("--- a/"), file, F.lit("\n+++ /dev/null\n@@ -1,"), count, F.lit(" +0,0")))
-    # Laid out by commit, as a stored diff table would be.
-    return keyed.join(docs, "doc_id").repartition("repo", "sha").select(
-        "repo", "sha", stored(F.when(F.col("doc_id") % 3 == 1, removed).otherwise(added)).alias("diff"))
+    # A patch depends on its document alone, so texts are shuffled once, as documents, not again as diffs.
+    patches = docs.select("doc_id", stored(F.when(F.col("doc_id") % 3 == 1, removed).otherwise(added)).alias("diff"))
+    return keyed.join(patches, "doc_id").select("repo", "sha", "diff", *more)
 
 
 def orgs(spark: SparkSession, sf: str) -> DataFrame:
