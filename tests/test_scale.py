@@ -41,3 +41,14 @@ def test_the_time_of_a_key_stays_with_its_diff(spark, tables):
     rows = v.diffs(spark, tables, keys.filter("k > 4")).collect()
     assert rows and {r.ts for r in rows} == {f"{r.sha}!" for r in rows}
     assert len(rows) == keys.filter("k > 4").count()
+
+
+def test_diffs_are_read_once_for_all_detectors(spark, tables):
+    plan = _plan(D.detect_in_diffs(v.diffs(spark, tables), "salt"))
+    assert plan.count("Join ") == 1 and "Union" not in plan
+
+
+def test_only_diffs_that_hold_something_meet_their_keys(spark, tables):
+    found = N.scan_diffs(v.diffs(spark, tables), "salt")
+    assert "RLIKE" in _plan(found).split("Join ")[1]
+    assert {r.detector for r in found.collect()} == {"private_key", "aws"}
