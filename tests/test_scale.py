@@ -52,3 +52,15 @@ def test_only_diffs_that_hold_something_meet_their_keys(spark, tables):
     found = N.scan_diffs(v.diffs(spark, tables), "salt")
     assert "RLIKE" in _plan(found).split("Join ")[1]
     assert {r.detector for r in found.collect()} == {"private_key", "aws"}
+
+
+
+def test_one_time_of_many_rows_is_many_files(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(4000).select(F.lit("t").alias("stored_at"), F.col("id").cast("string").alias("repo"), F.lit("x").alias("sha"))
+        path = Q._files(rows, "rows", "stored_at", "repo", "sha")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 4000 and len(sizes) > 4 and max(sizes) < 1000
