@@ -889,7 +889,9 @@ def finding_distincts_merged(spark, sf):
 def scan_hours(spark, sf):
     """Findings of two days, from diffs stored by the hour of the first push that named them."""
     path, pushed = store.new_path(spark, "diffs-by-hour"), N.commit_events(v.raw_events(spark, sf)).filter(~F.col("is_pr"))
-    stored = v.diffs(spark, sf).join(pushed.groupBy("repo", "sha").agg(F.min("ts").alias("ts")), ["repo", "sha"])
+    # The time joins the keys; texts are attached after it and shuffled once, into their hours.
+    first = v.push_keys(spark, sf).join(pushed.groupBy("repo", "sha").agg(F.min("ts").alias("ts")), ["repo", "sha"])
+    stored = v.diffs(spark, sf, first)
     store.write_by_hour(stored, path, files_per_hour=1)
     return N.scan_hours(v.raw_events(spark, sf), v.commits(spark, sf), path, v.SALT, "2024-01-10-00", "2024-01-12-00", look_back=48).findings
 

@@ -54,6 +54,14 @@ def test_only_diffs_that_hold_something_meet_their_keys(spark, tables):
     assert {r.detector for r in found.collect()} == {"private_key", "aws"}
 
 
+def test_hours_of_diffs_are_dealt_once(spark, tables, monkeypatch):
+    plans = []
+    monkeypatch.setattr(Q.store, "write_by_hour", lambda df, path, **_: plans.append(_plan(df)))
+    monkeypatch.setattr(Q.N, "scan_hours", lambda *a, **k: N.Scan(None, None))
+    Q.scan_hours(spark, tables)
+    # The outermost join attaches the texts, so that no later one moves them.
+    assert plans[0].split("Join ")[1].startswith("Inner, (doc_id")
+
 
 def test_one_time_of_many_rows_is_many_files(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
