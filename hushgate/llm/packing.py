@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushgate.llm.common import stage, tidy
+from hushgate.llm.common import kept_by, stage, tidy
 
 
 LONGEST, SHORTEST = 1024, 128
@@ -47,10 +47,11 @@ PIECES = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens lon
 # Blanks inside a run of other white space belong to it; elsewhere a blank always begins a token, and so does a line end
 # that stands alone. Marks after a word are tokens apart from it.
 _RUN, _LINES = re.compile(r"\s \s"), re.compile(r"\s\n|\n\s")
+#: What every match of these two holds in ASCII: two of blank and line end side by side, or other white space.
+_NOT_PLAIN = ["  ", " \n", "\n ", "\n\n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"]
 #: Fixed value: how byte-level BPE of this kind cuts text before merging.
 PIECES_OF_TEXT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _MARKS = ".,;:!?*#$%&)"
-_encoders: dict[str, Encoder] = {}
 
 
 def byte_ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
@@ -83,24 +84,24 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _each(self, words: list[str]) -> list[bytes]:
-        """Ids of words without white space, encoded together: the line end between two words is a token of its own."""
+    def _each(self, words: list[str], before: str = "") -> list[bytes]:
+        """Ids of words without white space, each after ``before``, encoded together: the line end between two is a token of its own."""
         if not words:
             return []
-        ids = np.array(self.bpe.encode_ordinary("\n".join(words)), "<u4")
-        cut = np.flatnonzero(ids == self.line_end)
-        return [ids[a:b].tobytes() for a, b in zip(np.r_[0, cut + 1].tolist(), np.r_[cut, len(ids)].tolist())]
+        ids = np.array(self.bpe.encode_ordinary(before + f"\n{before}".join(words)), "<u4")
+        cut, raw = 4 * np.flatnonzero(ids == self.line_end), ids.tobytes()
+        return [raw[a:b] for a, b in zip(np.r_[0, cut + 4].tolist(), np.r_[cut, len(raw)].tolist())]
 
     def _learn(self, parts: set[str]) -> None:
         """Add words as they stand after a blank, or after the line end they begin with."""
         stems = {p: s for p in parts if (s := p.rstrip(_MARKS)) != p and s.lstrip("\n").isalpha()}
         new = (parts - stems.keys() | set(stems.values())) - self.words.keys()
-        odd = [w for w in new if not w.strip() or len(w.split()) > 1 or w != w.rstrip() or w.lstrip("\n") != w.lstrip()]
-        new = list(new.difference(odd))
+        odd = [w for w in new if not w.isalnum() and (not w.strip() or len(w.split()) > 1 or w != w.rstrip() or w.lstrip("\n") != w.lstrip())]
+        new.difference_update(odd)
         lines = [w for w in new if w[0] == "\n"]
         blanks = [w for w in new if w[0] != "\n"]
         self.words.update(zip(odd, self._ids([w if w[:1] == "\n" else f" {w}" for w in odd])))
-        self.words.update(zip(blanks, self._each([f" {w}" for w in blanks])))
+        self.words.update(zip(blanks, self._each(blanks, " ")))
         end = np.array([self.line_end], "<u4").tobytes()
         self.words.update((w, end + ids) for w, ids in zip(lines, self._each([w[1:] for w in lines])))
         ends = list({p[len(s):] for p, s in stems.items()} - self.marks.keys())
@@ -108,9 +109,12 @@ class Encoder:
         self.words.update((p, self.words[s] + self.marks[p[len(s):]]) for p, s in stems.items())
 
     def _parts(self, text: str) -> list[str] | None:
-        if _RUN.search(text) or any(t in text for t in self.added):
+        if any(t in text for t in self.added):
             return None
-        if not _LINES.search(text):
+        plain = text.isascii() and not any(x in text for x in _NOT_PLAIN)
+        if not plain and _RUN.search(text):
+            return None
+        if plain or not _LINES.search(text):
             return text.replace("\n", " \n").split(" ")
         parts = text.split(" ")
         return None if any(p[:1] == "\n" for p in parts) else parts
@@ -129,9 +133,10 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    kept = kept_by(__name__)
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def tokenize(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
