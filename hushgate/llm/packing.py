@@ -20,12 +20,12 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,18 +40,22 @@ BUCKETS = 4096
 CELL = 4096
 #: Tokens of one training step, the same for every tier.
 STEP_TOKENS = 65536
-CACHED_WORDS = 500_000
+#: Characters that are encoded at a time.
+CHUNK_CHARS = 4_000_000
 PIECES = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, " \
          "tier int, step_group long"
 
 # Blanks inside a run of other white space belong to it; elsewhere a blank always begins a token, and so does a line end
 # that stands alone. Marks after a word are tokens apart from it.
 _RUN, _LINES = re.compile(r"\s \s"), re.compile(r"\s\n|\n\s")
-#: What every match of these two holds in ASCII: two of blank and line end side by side, or other white space.
-_NOT_PLAIN = ["  ", " \n", "\n ", "\n\n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"]
+#: White space but for blank and line end, by any of the libraries' rules.
+_OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
+#: What every match of these two holds: two of blank and line end side by side, or other white space.
+_NOT_PLAIN = ["  ", " \n", "\n ", "\n\n", *_OTHER_SPACE]
+#: Words without letters or signs, or with white space other than a line end at the start.
+_ODD = rf"^\n?$|[{_OTHER_SPACE}]|(?s:.)\n"
 #: Fixed value: how byte-level BPE of this kind cuts text before merging.
 PIECES_OF_TEXT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_MARKS = ".,;:!?*#$%&)"
 
 
 def byte_ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
@@ -64,9 +68,10 @@ def byte_ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
 
 
 class Encoder:
-    """Token ids of texts, word by word with a bounded cache: a token never spans the blank before a word.
+    """Token ids of texts, by their distinct words: a token never spans the blank before a word.
 
-    New words are merged by the faster of two libraries with the same vocabulary, whole texts by the other.
+    Words are merged by the faster of two libraries with the same vocabulary, whole texts by the other. Nothing is
+    kept from call to call.
     """
 
     def __init__(self, path: str):
@@ -78,58 +83,71 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bpe = tiktoken.Encoding("same", pat_str=PIECES_OF_TEXT, mergeable_ranks=byte_ranks(self.tokenizer.get_vocab()), special_tokens={})
         self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.words: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _each(self, words: list[str], before: str = "") -> list[bytes]:
-        """Ids of words without white space, each after ``before``, encoded together: the line end between two is a token of its own."""
-        if not words:
-            return []
-        ids = np.array(self.bpe.encode_ordinary(before + f"\n{before}".join(words)), "<u4")
-        cut, raw = 4 * np.flatnonzero(ids == self.line_end), ids.tobytes()
-        return [raw[a:b] for a, b in zip(np.r_[0, cut + 4].tolist(), np.r_[cut, len(raw)].tolist())]
-
-    def _learn(self, parts: set[str]) -> None:
-        """Add words as they stand after a blank, or after the line end they begin with."""
-        stems = {p: s for p in parts if (s := p.rstrip(_MARKS)) != p and s.lstrip("\n").isalpha()}
-        new = (parts - stems.keys() | set(stems.values())) - self.words.keys()
-        odd = [w for w in new if not w.isalnum() and (not w.strip() or len(w.split()) > 1 or w != w.rstrip() or w.lstrip("\n") != w.lstrip())]
-        new.difference_update(odd)
-        lines = [w for w in new if w[0] == "\n"]
-        blanks = [w for w in new if w[0] != "\n"]
-        self.words.update(zip(odd, self._ids([w if w[:1] == "\n" else f" {w}" for w in odd])))
-        self.words.update(zip(blanks, self._each(blanks, " ")))
-        end = np.array([self.line_end], "<u4").tobytes()
-        self.words.update((w, end + ids) for w, ids in zip(lines, self._each([w[1:] for w in lines])))
-        ends = list({p[len(s):] for p, s in stems.items()} - self.marks.keys())
-        self.marks.update(zip(ends, self._ids(ends)))
-        self.words.update((p, self.words[s] + self.marks[p[len(s):]]) for p, s in stems.items())
-
-    def _parts(self, text: str) -> list[str] | None:
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, words: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words with ``before`` ahead of each, and where line ends are among them: each is a token of its own."""
+        text = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar(before, words.type))[0].as_py()
+        ids = np.array(self.bpe.encode_ordinary(before + text), "<u4")
+        return ids, np.flatnonzero(ids == self.line_end)
+
+    def _words(self, words: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Ids of words as they stand after a blank, or after the line end they begin with; where those of each begin
+        in all the ids, and their number."""
+        lines = pc.starts_with(words, "\n").to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(words, _ODD).to_numpy(zero_copy_only=False)
+        ids, first, count, size = [], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), 0
+        for some, blank in ((~lines & ~odd, 1), (lines & ~odd, 0)):
+            if some.any():
+                # A word has the ids up to the next line end, and the line end it begins with.
+                got, cut = self._joined(words.filter(pa.array(some)), "\n ") if blank else self._joined(
+                    pc.utf8_slice_codeunits(words.filter(pa.array(some)), 1), "\n")
+                first[some], count[some] = size + cut + blank, np.diff(np.append(cut, len(got))) - blank
+                ids.append(got)
+                size += len(got)
+        for i in np.flatnonzero(odd).tolist():
+            word = words[i].as_py()
+            got = self._ids([word if lines[i] else f" {word}"])[0]
+            first[i], count[i] = size, len(got)
+            ids.append(got)
+            size += len(got)
+        return ids, first, count
+
+    def _spaced(self, text: str) -> str | None:
+        """The text with a blank ahead of each line end a word begins with; None if it can't be cut at blanks."""
         if any(t in text for t in self.added):
             return None
-        plain = text.isascii() and not any(x in text for x in _NOT_PLAIN)
+        plain = not any(x in text for x in _NOT_PLAIN)
         if not plain and _RUN.search(text):
             return None
         if plain or not _LINES.search(text):
-            return text.replace("\n", " \n").split(" ")
-        parts = text.split(" ")
-        return None if any(p[:1] == "\n" for p in parts) else parts
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        parts = [self._parts(t) for t in texts]
-        self._learn(set().union(*(p[1:] for p in parts if p)) - self.words.keys())
-        heads = iter(self._ids([p[0] if p else t for t, p in zip(texts, parts)]))
-        get = self.words.__getitem__
-        out = [b"".join(chain((h,), map(get, p[1:]))) if p else h for h, p in zip(heads, parts)]
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-            self.marks.clear()
-        return out
+            return text.replace("\n", " \n")
+        return None if text[:1] == "\n" or " \n" in text else text
+
+    def _parts(self, text: str) -> list[str] | None:
+        spaced = self._spaced(text)
+        return None if spaced is None else spaced.split(" ")
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        if not texts:
+            return []
+        cut = [self._spaced(t) for t in texts]
+        # The first word of a text has no blank before it, so it stands with the texts that are not cut.
+        heads = self._ids([t if c is None else c.partition(" ")[0] for t, c in zip(texts, cut)])
+        parts = pc.split_pattern(pa.array([c or "" for c in cut], pa.large_string()), " ")
+        each, text_at = parts.flatten().dictionary_encode(), parts.offsets.to_numpy()
+        del cut, parts
+        ids, first, count = self._words(each.dictionary)
+        which = each.indices.to_numpy()
+        first, count = first[which], count[which]
+        count[text_at[:-1]] = [len(h) for h in heads]
+        first[text_at[:-1]] = sum(map(len, ids)) + np.cumsum([0, *map(len, heads[:-1])])
+        end = np.cumsum(count)
+        out = np.concatenate([*ids, *heads])[np.repeat(first - end + count, count) + np.arange(end[-1])]
+        return np.split(out, end[text_at[1:-1] - 1])
 
 
 def encoder(path: str) -> Encoder:
@@ -146,11 +164,10 @@ def tokenize(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "
         for b in batches:
             sizes = np.cumsum([len(t) for t in b.column("t").fill_null("").to_pylist()])
             first = 0
-            while first < len(b):  # about a million characters at a time
-                end = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + 1_000_000, "right")))
+            while first < len(b):
+                end = max(first + 1, int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + CHUNK_CHARS, "right")))
                 part = b.slice(first, end - first)
-                ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(END_ID))
-                       for x in enc.encode(part.column("t").fill_null("").to_pylist())]
+                ids = [np.append(x, np.uint32(END_ID)) for x in enc.encode(part.column("t").fill_null("").to_pylist())]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row"), part.column("k"), pa.array([len(x) for x in ids], pa.int64()),
                      pa.array([(x.astype("<u2") if x.max() < 65536 else x.astype("<u4")).tobytes() for x in ids], pa.binary())],

@@ -42,3 +42,38 @@ def test_plain_texts_are_told_without_a_search(monkeypatch):
     enc = packing.encoder(byte_bpe_path())
     monkeypatch.setattr(packing, "_RUN", Never())
     assert enc._parts("one two\nthree") == ["one", "two", "\nthree"]
+
+
+def test_texts_with_accents_are_told_without_a_search(monkeypatch):
+    monkeypatch.setattr(packing, "_RUN", None)
+    enc = packing.encoder(byte_bpe_path())
+    assert enc._parts("zw\u00f6lf \u65e5\u672c\nein") == ["zw\u00f6lf", "\u65e5\u672c", "\nein"]
+
+
+def test_the_encoder_merges_distinct_words_at_once_and_keeps_none():
+    class Counted:
+        def __init__(self, bpe):
+            self.bpe, self.texts = bpe, []
+
+        def encode_ordinary(self, text):
+            self.texts.append(text)
+            return self.bpe.encode_ordinary(text)
+
+    enc = packing.Encoder(byte_bpe_path())
+    enc.bpe = counted = Counted(enc.bpe)
+    before = {k: len(v) for k, v in vars(enc).items() if isinstance(v, (dict, list))}
+    texts = [f"head word{i % 7} word{i % 7}, \u00e9t\u00e9\nline{i % 5} end." for i in range(500)]
+    whole = [e.ids for e in enc.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == whole
+    assert len(counted.texts) == 4 and sum(t.count("word") for t in counted.texts) == 2 * 14
+    assert {k: len(v) for k, v in vars(enc).items() if isinstance(v, (dict, list))} == before
+
+
+def test_odd_white_space_is_as_in_whole_texts():
+    pick = random.Random(5)
+    parts = ["a", "Bc", "\u00e9", " ", " ", "\n", ".", "\xa0", "\u3000", "\u2003", "\x85", "\u200b", "\u180e", "\ufeff", "\u4e2d", "\x00", "\x1f"]
+    texts = ["".join(pick.choices(parts, k=pick.randint(0, 20))) for _ in range(3000)]
+    enc = packing.encoder(byte_bpe_path())
+    whole = [e.ids for e in enc.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in enc.encode(texts)] == whole and enc.encode([]) == []
