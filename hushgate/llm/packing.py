@@ -41,7 +41,7 @@ CELL = 4096
 #: Tokens of one training step, the same for every tier.
 STEP_TOKENS = 65536
 #: Characters that are encoded at a time.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_000_000
 PIECES = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, " \
          "tier int, step_group long"
 
@@ -90,7 +90,7 @@ class Encoder:
     def _joined(self, words: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words with ``before`` ahead of each, and where line ends are among them: each is a token of its own."""
         text = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar(before, words.type))[0].as_py()
-        ids = np.array(self.bpe.encode_ordinary(before + text), "<u4")
+        ids = self.bpe.encode_to_numpy(before + text, disallowed_special=()).astype("<u4", copy=False)
         return ids, np.flatnonzero(ids == self.line_end)
 
     def _words(self, words: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:

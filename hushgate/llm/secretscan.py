@@ -31,7 +31,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushgate.llm.common import tidy
+from hushgate.llm.common import once_a_task, tidy
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -191,22 +191,17 @@ def scan(docs: DataFrame, dictionary: bytes, key: str = "doc_id", text: str = "t
 
 def redact(docs: DataFrame, dictionary: bytes, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The same rows and columns with every span replaced by ``mark``; spans that overlap become one."""
-    def clean(value: str | None, novelty: Novelty) -> str | None:
+    novelty = once_a_task(__name__, lambda: Novelty(dictionary))
+
+    @F.udf("string", useArrow=False)
+    def clean(value: str | None) -> str | None:
         if not value:
             return value
         out, at = [], 0
-        for _, a, b in sorted(all_spans(value, novelty), key=lambda s: s[1:]):
+        for _, a, b in sorted(all_spans(value, novelty()), key=lambda s: s[1:]):
             if a >= at:
                 out += [value[at:a], mark]
             at = max(at, b)
         return "".join([*out, value[at:]])
 
-    i = docs.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        novelty = Novelty(dictionary)
-        for b in batches:
-            new = pa.array([clean(t.as_py(), novelty) for t in b.column(i)], b.schema.field(i).type)
-            yield pa.RecordBatch.from_arrays([new if k == i else c for k, c in enumerate(b.columns)], schema=b.schema)
-
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return docs.withColumn(text, clean(F.col(text)))

@@ -34,7 +34,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushgate.llm.common import small_batches, stage, tidy
+from hushgate.llm.common import once_a_task, small_batches, stage, tidy
 
 WINDOW = 64
 SAMPLE, SAMPLE_BYTES = 2500, 32 << 10
@@ -203,11 +203,10 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows, all columns, whose text scores below ``threshold``."""
-    i = docs.columns.index(text)
+    scorer = once_a_task(__name__, lambda: Scorer(model))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
-        for b in batches:
-            yield b.filter(pa.array([scorer.score(t.as_py() or "") < threshold for t in b.column(i)], pa.bool_()))
+    @F.udf("boolean", useArrow=False)
+    def below(value: str | None) -> bool:
+        return bool(scorer().score(value or "") < threshold)
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return docs.filter(below(F.col(text).cast("string")))

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from hushgate.llm import common, packing
+from hushgate.llm import common, packing, secretscan, toxicity
 from hushgate.llm.queries import byte_bpe_path
 
 
@@ -55,9 +55,9 @@ def test_the_encoder_merges_distinct_words_at_once_and_keeps_none():
         def __init__(self, bpe):
             self.bpe, self.texts = bpe, []
 
-        def encode_ordinary(self, text):
+        def encode_to_numpy(self, text, **kwargs):
             self.texts.append(text)
-            return self.bpe.encode_ordinary(text)
+            return self.bpe.encode_to_numpy(text, **kwargs)
 
     enc = packing.Encoder(byte_bpe_path())
     enc.bpe = counted = Counted(enc.bpe)
@@ -77,3 +77,24 @@ def test_odd_white_space_is_as_in_whole_texts():
     enc = packing.encoder(byte_bpe_path())
     whole = [e.ids for e in enc.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     assert [x.tolist() for x in enc.encode(texts)] == whole and enc.encode([]) == []
+
+
+def test_whole_texts_pass_python_in_small_batches(spark):
+    """Rows that callers write themselves: Arrow batches would be bounded by the session's settings alone."""
+    docs = spark.createDataFrame([(1, "password = hunter2hunter2", "x"), (2, None, "y"), (None, "", "z")], "doc_id long, text string, n string")
+    model = toxicity.Model(b"ordinary", b"toxic", (0.0,) * 8)
+    clean, kept = secretscan.redact(docs, b"identifier"), toxicity.reject(docs, model, threshold=0.6)
+    for rows in (clean, kept):
+        assert "InArrow" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in clean.collect()} == {(1, "[SECRET]", "x"), (2, None, "y"), (None, "", "z")}
+    assert {tuple(r) for r in kept.collect()} == {tuple(r) for r in docs.collect()}
+    assert toxicity.reject(docs, model, threshold=0.5).count() == 0
+
+
+def test_a_row_function_makes_its_own_once_and_frees_what_others_kept():
+    packing.encoder(byte_bpe_path())
+    made = []
+    get = common.once_a_task("hushgate.llm.secretscan", lambda: made.append(1) or "it")
+    assert common.kept_by("hushgate.llm.packing")
+    assert [get(), get()] == ["it", "it"] and made == [1]
+    assert not common.kept_by("hushgate.llm.packing")
