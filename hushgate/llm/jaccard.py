@@ -7,7 +7,10 @@ neighbouring blocks meet, and a position bound drops entries too far down
 their set.
 
 Answers: equal sets are one set. Every set is first compared with one leader
-of its lists, the most promising one; sets that reach one another over their
+of its lists, the most promising one. The leader of a list is the set that
+holds least before the list's token: a copy's own edits are rare tokens and
+come first, so among near copies it is the text they stem from or one close
+to it, which answers for far more of them than any copy would. Sets that reach one another over their
 answers share these, and a list whose sets share theirs is skipped. Pairs are
 formed only between different components of a list. Parities of hashed tokens
 bound the difference of two sets from below, and what passes is compared
@@ -212,7 +215,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     lists = stage(entries.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1").select("token"), "list-tokens")
     index = stage(entries.join(lists, "token"), "lists")
     # Each set and the most promising leader of its lists.
-    leaders = stage(index.groupBy("token").agg(F.min("rep").alias("a")), "leaders")
+    leaders = stage(index.groupBy("token").agg(F.min(F.struct("pos", "rep")).alias("m")).select("token", F.col("m.rep").alias("a")), "leaders")
     led = index.join(leaders, "token").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
     best = _near(led, sets, percent).groupBy("b").agg(F.min(F.struct("least", "a")).alias("m")).select("b", F.col("m.a").alias("a"))
     links = _verified(best.select("a", "b"), docs, key, text, n, percent)
