@@ -2,7 +2,8 @@
 
 Each stage takes the documents its predecessor kept and returns documents of
 the same columns; the last returns the pieces of packed sequences. ``run``
-writes every stage to the shared folder and reads it again.
+writes every stage to the shared folder and reads it again; what a stage left
+there on its way is removed.
 
 - toxicity: documents with a score at or above the threshold go.
 - near duplicates: of each group linked by a Jaccard similarity of 0.8 or more
@@ -15,11 +16,13 @@ writes every stage to the shared folder and reads it again.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushgate.llm import decontaminate, jaccard, packing, secretscan, toxicity
-from hushgate.llm.common import stage, table
+from hushgate.llm.common import stage, stage_alone, table
 from hushgate.llm.queries import byte_bpe_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -47,8 +50,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = docs.select(COLUMNS).withColumn("_text", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")))
-    found = decontaminate.decontaminate(named.select("_text", "text"), table(spark, sf_dir, "benchmark"), key="_text")
-    bad = found.filter("n_hit > 0").select("_text").distinct()
+
+    def hit() -> DataFrame:
+        found = decontaminate.decontaminate(named.select("_text", "text"), table(spark, sf_dir, "benchmark"), key="_text")
+        return found.filter("n_hit > 0").select("_text").distinct()
+
+    bad = stage_alone(spark, "corpus-contaminated", hit)
     return named.join(bad, "_text", "left_anti").select(COLUMNS)
 
 
@@ -71,5 +78,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, work in STAGES[:-1]:
-        docs = stage(work(spark, docs, sf_dir), f"corpus-{name}")
+        docs = stage_alone(spark, f"corpus-{name}", partial(work, spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

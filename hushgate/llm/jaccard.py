@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushgate.llm.common import mix64, only_buckets_of, small_batches, stage, text_buffer, tidy
+from hushgate.llm.common import mix64, only_buckets_of, small_batches, stage, stage_alone, text_buffer, tidy
 from hushgate.llm.components import components
 
 #: Common tokens: kept entries, least sum of local counts, tokens counted at a time, share of documents that counts locally.
@@ -169,12 +169,16 @@ def _compare(percent: int, n: int):
 
 def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
     """Of pairs ``(a, b)`` those whose sets are as similar as asked. Only their texts are shuffled."""
+    return stage_alone(docs.sparkSession, "links", lambda: _compared(pairs, docs, key, text, n, percent)).distinct()
+
+
+def _compared(pairs: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
     needed = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
     texts = only_buckets_of(docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")), needed, "k")
     texts = stage(texts.join(needed, "k", "left_semi").distinct(), "pair-texts")
     both = (pairs.join(texts.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a")
             .join(texts.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb"))
-    return stage(both.mapInArrow(_compare(percent, n), "a long, b long"), "links").distinct()
+    return both.mapInArrow(_compare(percent, n), "a long, b long")
 
 
 def least_difference(x: bytes, y: bytes) -> int:
@@ -206,7 +210,14 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90) -> DataFrame:
-    """``(key, n_shingles, component_id)`` of every document: links are pairs of Jaccard ``percent`` or more."""
+    """``(key, n_shingles, component_id)`` of every document: links are pairs of Jaccard ``percent`` or more.
+
+    The result is staged; sets, lists and texts of pairs go once it is written.
+    """
+    return stage_alone(docs.sparkSession, "set-components", lambda: _components_of_sets(docs, key, text, n, percent))
+
+
+def _components_of_sets(docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
     found = stage(set_index(docs, common_tokens(docs, text, n), key, text, n, percent), "sets")
     sets = stage(found.filter("n > 0 and key is not null").groupBy("d1", "d2").agg(
         F.min("key").alias("rep"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("parity").alias("parity")), "set-reps")
@@ -219,7 +230,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     led = index.join(leaders, "token").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct()
     best = _near(led, sets, percent).groupBy("b").agg(F.min(F.struct("least", "a")).alias("m")).select("b", F.col("m.a").alias("a"))
     links = _verified(best.select("a", "b"), docs, key, text, n, percent)
-    known = stage(components(links), "answers")
+    known = stage_alone(docs.sparkSession, "answers", lambda: components(links))
     # Lists that hold more than one component, in blocks by size: a set meets its own block and the next.
     block = F.floor(F.log("n") / np.log(100 / percent)).cast("int")
     rows = (index.join(known, F.col("rep") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rep"))
