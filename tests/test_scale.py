@@ -63,6 +63,16 @@ def test_hours_of_diffs_are_dealt_once(spark, tables, monkeypatch):
     assert plans[0].split("Join ")[1].startswith("Inner, (doc_id")
 
 
+def test_diffs_of_the_streams_are_written_where_they_met_their_keys(spark, tables, monkeypatch):
+    orders, files = {}, Q._files
+    monkeypatch.setattr(Q, "_files", lambda df, name, *order: orders.update({name: order}) or files(df, name, *order))
+    (_, _, diffs) = Q._stored_streams(spark, tables)
+    assert orders["diffs"] == () and orders["events"] and orders["commits"]
+    keys = v.push_keys(spark, tables).filter((F.col("user_id") + F.col("k")) % 7 != 0)
+    rows = spark.read.parquet(diffs[0])
+    assert rows.count() == keys.count() == rows.join(keys, ["repo", "sha"]).count() > 0
+
+
 def test_one_time_of_many_rows_is_many_files(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
